@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, quality, sharding
+from millrace.llm import bpe, langid, mixing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (sharding.op4_sharding, quality.op7_quality_rules, mixing.op8_mixing, bpe.op9_bpe)
+    fs = (simhash.op1_simhash, sharding.op4_sharding, quality.op7_quality_rules, mixing.op8_mixing, bpe.op9_bpe, langid.op10_language_id)
     return {f.__name__: f for f in fs}
 
 
