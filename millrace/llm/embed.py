@@ -34,6 +34,8 @@ COSINE = 0.9
 NEAREST, SHARED = 6, 2
 #: One pivot per so many vectors, within these bounds.
 PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST = 40, 16, 4096
+#: Two pivots have a cosine below this.
+PIVOTS_APART = 0.7
 #: Vectors in a block.
 BLOCK = 160
 
@@ -51,7 +53,8 @@ def _clean(v: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndar
 
 
 def pivots(classes: DataFrame) -> np.ndarray:
-    """Unit vectors of the pivots: the classes whose ids have the smallest hashes."""
+    """Unit vectors of the pivots: of the classes whose ids have the smallest hashes, those that are far
+    from each other. Pivots inside one crowded group would split it by chance."""
     n = classes.count()
     m = min(PIVOTS_MOST, max(PIVOTS_LEAST, n // PER_PIVOT))
     got = [r[0] for r in classes.filter("v IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("id"), "id").select("v").limit(m).collect()]
@@ -60,7 +63,13 @@ def pivots(classes: DataFrame) -> np.ndarray:
     lengths = [len(v) for v in got]
     dim = max(set(lengths), key=lambda d: (lengths.count(d), -d))
     _, x = _clean(pa.array([v for v in got if len(v) == dim], pa.list_(pa.float64())), dim)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    apart, free = [], np.ones(len(x), bool)
+    for i in range(len(x)):
+        if free[i]:
+            apart.append(i)
+            free &= x @ x[i] < PIVOTS_APART
+    return x[apart]
 
 
 def index(classes: DataFrame, piv: np.ndarray) -> DataFrame:
