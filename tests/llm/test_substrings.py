@@ -1,0 +1,97 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from millrace.llm import bwt, substrings
+
+
+def brute(texts, length):
+    """(n_bytes, n_removed, n_spans, sha) per text, from all windows."""
+    datas = [(t or "").encode() for t in texts]
+    seen = {}
+    for d in datas:
+        for i in range(len(d) - length + 1):
+            seen[d[i : i + length]] = seen.get(d[i : i + length], 0) + 1
+    out = []
+    for d in datas:
+        cover = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(d)) if cover[i] and (not i or not cover[i - 1]))
+        out.append((len(d), sum(cover), spans, hashlib.sha256(bytes(b for b, c in zip(d, cover) if not c)).hexdigest()))
+    return out
+
+
+def run(spark, texts, length, k, group=256):
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, u string")
+    rows = substrings.remove_repeats(df, length=length, k=k, group=group).collect()
+    assert len(rows) == len(texts)
+    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_transform_and_merge():
+    rng = random.Random(1)
+    for n in range(12):
+        strings = [np.array([rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))]) for _ in range(n + 1)]
+        # Strings are told apart by a symbol of their own, as fragments are.
+        strings = [np.concatenate([s, [10 + i]]) for i, s in enumerate(strings)]
+        for depth in (1, 3, 6):
+            seen = {}
+            for s in strings:
+                for i in range(len(s) - depth + 1):
+                    seen[tuple(s[i : i + depth])] = seen.get(tuple(s[i : i + depth]), 0) + 1
+            for shards in (1, 3):
+                for s, hit in zip(strings, bwt.repeated(strings, depth, shards)):
+                    assert hit.tolist() == [i + depth <= len(s) and seen[tuple(s[i : i + depth])] > 1 for i in range(len(s))]
+
+
+def texts_with_repeats(seed, length):
+    rng = random.Random(seed)
+    word = lambda n, abc="abcdefgh é": "".join(rng.choice(abc) for _ in range(n))
+    passages = [word(rng.randrange(length // 2, 4 * length)) for _ in range(4)] + ["ab" * length, "x" * 2 * length]
+    texts = [None, "", "short", word(length - 1), word(length), passages[0], passages[0]]
+    for _ in range(30):
+        t = word(rng.randrange(0, 3 * length))
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) // 3 + 1)
+            t += p[a : len(p) - rng.randrange(len(p) // 3 + 1)] + word(rng.randrange(0, length), "ab")
+        texts.append(t)
+    near = word(5 * length)
+    for _ in range(10):
+        i = rng.randrange(len(near))
+        texts.append(near[:i] + "#" + near[i + 1 :])
+    return texts + texts[10:13]
+
+
+@pytest.mark.parametrize("seed, length, k, group", [(1, 40, 27, 256), (2, 40, 20, 3), (3, 24, 8, 2), (4, 400, 272, 4)])
+def test_against_brute_force(spark, seed, length, k, group):
+    texts = texts_with_repeats(seed, length)
+    assert run(spark, texts, length, k, group) == brute(texts, length)
+
+
+def test_chunked_texts(spark, monkeypatch):
+    texts = texts_with_repeats(5, 40)
+    monkeypatch.setattr(substrings, "CHUNK", 50)
+    for t in filter(None, texts):
+        windows = [i for a in substrings.anchors(t.encode(), 40, 27) for lo, hi in zip(a[2], a[4]) for i in range(lo, hi + 1)]
+        assert windows == list(range(max(0, len(t.encode()) - 39)))
+    assert run(spark, texts, 40, 27) == brute(texts, 40)
+
+
+def test_empty_and_repeated_rows(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert substrings.remove_repeats(df).count() == 0
+    row = (1, "q" * 100 + "".join(chr(97 + i * i % 23) for i in range(700)))
+    got = substrings.remove_repeats(spark.createDataFrame([row, row, (None, "solo " * 10)], "doc_id long, text string"), with_text=True).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == [(50, 0, 0, "solo " * 10), (800, 800, 1, ""), (800, 800, 1, "")]
+
+
+def test_query_on_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.op3_suffix_array_dedup(spark, d).collect()}
+    assert [got[r.doc_id] for r in docs] == brute([r.text for r in docs], 400)
