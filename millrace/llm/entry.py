@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embed, langid, mixing, quality, sharding, simhash, substrings
+from millrace.llm import bpe, embed, html, langid, mixing, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (simhash.op1_simhash, embed.op2_embedding_dedup, substrings.op3_suffix_array_dedup, sharding.op4_sharding, quality.op7_quality_rules, mixing.op8_mixing, bpe.op9_bpe, langid.op10_language_id)
+    fs = (simhash.op1_simhash, embed.op2_embedding_dedup, substrings.op3_suffix_array_dedup, sharding.op4_sharding, html.op6_html_extraction, quality.op7_quality_rules, mixing.op8_mixing, bpe.op9_bpe, langid.op10_language_id)
     return {f.__name__: f for f in fs}
 
 
