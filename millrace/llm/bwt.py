@@ -44,18 +44,21 @@ def merge(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     A place of the interleave is the number of a transform; its places are taken in their own order.
     """
     sizes = np.array([len(p) for p in parts])
-    z = np.repeat(np.arange(len(parts), dtype=np.uint16), sizes)
-    flat = np.concatenate(parts).astype(np.uint16) if parts else np.zeros(0, np.uint16)
-    block = np.zeros(len(flat), np.int64)
+    z = np.repeat(np.arange(len(parts), dtype=np.uint8), sizes)
+    # Few symbols sort in one pass.
+    kind = np.uint8 if max((int(p.max(initial=0)) for p in parts), default=0) < 256 else np.uint16
+    flat = [p.astype(kind) for p in parts]
+    block = np.zeros(len(z), np.int32)
     for _ in range(depth):
         # The symbol before each merged place: every transform is read in order.
-        by_part = np.argsort(z, kind="stable")
-        before = np.empty(len(flat), np.uint16)
-        before[by_part] = flat
+        before = np.empty(len(z), kind)
+        for k, part in enumerate(flat):
+            before[z == k] = part
         order = np.argsort(before, kind="stable")
         z = z[order]
         s, b = before[order], block[order]
-        new = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])) if len(s) else block
+        new = np.zeros(len(z), np.int32)
+        np.cumsum((s[1:] != s[:-1]) | (b[1:] != b[:-1]), out=new[1:])
         block = new
     return z, block
 
@@ -74,6 +77,7 @@ def repeated(strings: list[np.ndarray], depth: int, shards: int = 4) -> list[np.
     whole = np.zeros(at[-1], np.int64)
     for k, s in enumerate(strings):
         whole[at[k] : at[k] + len(s)] = s
+    whole = np.unique(whole, return_inverse=True)[1].reshape(-1)
     for group in split:
         lo, hi = at[group[0]], at[group[-1] + 1]
         order, last = transform(whole[lo:hi], at[group[0] : group[-1] + 2] - lo)

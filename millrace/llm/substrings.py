@@ -36,6 +36,8 @@ LENGTH = 400
 ANCHOR = 272
 #: Fragments of a group that one task sorts; symbols that are sorted at once.
 GROUP, SYMBOLS = 256, 1 << 19
+#: Groups that are sorted at once: with the bytes in use they mostly stay below 256 symbols.
+GROUPS = 150
 #: Windows of a text that are handled at once.
 CHUNK = 1 << 20
 
@@ -165,7 +167,7 @@ def _resolve(width: int, base: dict[str, int] | None, length: int):
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if held and row[0] != held[-1][0]:
                     groups += 1
-                    if size > SYMBOLS or groups > 60_000:
+                    if size > SYMBOLS or groups >= GROUPS:
                         yield solve(held)
                         held, size, groups = [], 0, 0
                 held.append(row)
@@ -207,7 +209,8 @@ def _unlike(frags: DataFrame, length: int, width: int, group: int) -> list[DataF
     sizes = cut(frags.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     met = frags.join(sizes, "key")
     few = met.filter(F.col("m") <= group).select("key", "u", "loc", "twin", "l", "r", "off")
-    found = [few.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(width, None, length), "u bigint, s bigint, e bigint")]
+    parts = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = [few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve(width, None, length), "u bigint, s bigint, e bigint")]
     if not sizes.filter(F.col("m") > group).limit(1).collect():
         return found
     halves = cut(met.filter(F.col("m") > group).select("key", "u", "loc", "twin", "l", "r", "off").mapInArrow(_halve(width), _FRAGMENT + ", width int"))
