@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from millrace.llm import bpe, embed, html, langid, lm, mixing, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (simhash.op1_simhash, embed.op2_embedding_dedup, substrings.op3_suffix_array_dedup, sharding.op4_sharding, lm.op5_lm_scoring, html.op6_html_extraction, quality.op7_quality_rules, mixing.op8_mixing, bpe.op9_bpe, langid.op10_language_id)
-    return {f.__name__: f for f in fs}
+    return {f.__name__: f for f in fs} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
