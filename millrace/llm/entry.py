@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op2_embedding_dedup": embed.ORACLE_SQL, "op5_lm_scoring": lm.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}

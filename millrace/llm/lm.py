@@ -130,13 +130,14 @@ def _ask(order: int, bits: int, buckets: int):
 def _count(key: tuple, asked: pa.Table) -> pa.Table:
     """One bucket: counts over all chunks, answered to each chunk in the order of its own distinct hashes."""
     rows = asked.to_pylist()
-    hs = [np.cumsum(unpack(r["h"], r["n"]), dtype=np.uint64) for r in rows]
-    cs = [unpack(r["c"], r["n"]).astype(np.int64) for r in rows]
+    hs = [np.cumsum(unpack(r.pop("h"), r["n"]), dtype=np.uint64) for r in rows]
+    cs = [unpack(r.pop("c"), r["n"]).astype(np.int64) for r in rows]
     flat = np.concatenate(hs)
     order = np.argsort(flat, kind="stable")
-    sorted_h = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-    known, total = sorted_h[first], np.add.reduceat(np.concatenate(cs)[order], first)
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    known, total = flat[first], np.add.reduceat(np.concatenate(cs)[order], first)
+    del flat, order, first, cs
     own: dict[int, list[np.ndarray]] = {}
     for r, h in zip(rows, hs, strict=True):
         own.setdefault(r["chunk"], []).append(h)
@@ -173,7 +174,9 @@ def _score_text(gs: list[np.ndarray], known: np.ndarray, counts: np.ndarray, tok
 def _score(order: int, bits: int, buckets: int, tokens: int, alpha: float, kind: pa.DataType):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         gs = [_all_grams(t.as_py(), order, bits) for t in docs["text"]]
-        known = np.unique(np.concatenate([g for d in gs for g in d])) if gs else np.zeros(0, np.uint64)
+        known = np.concatenate([g for d in gs for g in d]) if gs else np.zeros(0, np.uint64)
+        known.sort()
+        known = known[np.concatenate([[True], known[1:] != known[:-1]])] if len(known) else known
         got = {r["bucket"]: unpack(r["c"], r["n"]).astype(np.int64) for r in answers.to_pylist()}
         counts = np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(0, np.int64)
         rows = [_score_text(g, known, counts, tokens, alpha) for g in gs]
@@ -199,4 +202,19 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Scores are rounded, since their sums depend on the order of addition in the last digits."""
+    out = score(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+x AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
+c AS (SELECT x.*, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS cw, count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY r, p, w) AS cb,
+        greatest(count(*) OVER () - count(*) OVER (PARTITION BY r), 1) AS rest FROM x),
+y AS (SELECT c.*, lag(cw) OVER (PARTITION BY r ORDER BY i) AS cp, ln((CASE WHEN cw > 0 THEN CAST(cw AS DOUBLE) ELSE 0.4 END) / rest) AS base FROM c),
+s AS (SELECT r, count(*) AS n_tokens, CAST(sum(CASE WHEN p IS NOT NULL AND cb = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_backoff,
+        sum(CASE WHEN p IS NULL THEN base WHEN cb > 0 THEN ln(CAST(cb AS DOUBLE) / greatest(cp, 1)) ELSE ln(CAST(0.4 AS DOUBLE)) + base END) AS z FROM y GROUP BY r)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(z, 0), 6) AS log_score, round(z / n_tokens, 6) AS mean_log_score FROM d LEFT JOIN s USING (r)
+"""
