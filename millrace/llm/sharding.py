@@ -74,3 +74,22 @@ def shard(df: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "t
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents", "doc_id", "text"), 16)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) g(i)) q),
+hexed AS MATERIALIZED (SELECT r, hex(encode(t)) AS h FROM d),
+bytes AS MATERIALIZED (SELECT r, list_transform(range(1, CAST(strlen(h) AS BIGINT), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bs FROM hexed),
+crc AS (SELECT r, xor(list_reduce(bs,
+        lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM bytes, tab),
+walk(r, n, k, b, j) AS (
+    SELECT r, n, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT) AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM d, (VALUES (16), (17)) m(n)
+    UNION ALL
+    SELECT r, n, k2, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / CAST((k2 // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+    FROM (SELECT r, n, j, (k * CAST(2862933555777941757 AS UHUGEINT) + 1) % CAST(18446744073709551616 AS UHUGEINT) AS k2 FROM walk WHERE j < n) s),
+place AS (SELECT r, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown FROM walk GROUP BY r)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, strlen(t)) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM d JOIN crc USING (r) JOIN place USING (r)
+"""

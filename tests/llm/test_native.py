@@ -5,7 +5,6 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,14 +125,3 @@ def test_mix(spark, slices):
         assert all(r.epochs * r.size <= r.taken <= min(2, r.epochs + 1) * r.size for r in own)
         assert sum(r.epochs * r.size < r.taken < (r.epochs + 1) * r.size for r in own) <= 1
     assert mixing.mix(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("module, query", [(quality, quality.op7_quality_rules), (mixing, mixing.op8_mixing)])
-def test_registered_sql(spark, module, query):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = c.execute(module.ORACLE_SQL)
-    cols = [x[0] for x in want.description]
-    df = query(spark, DATA)
-    assert sorted(df.columns) == sorted(cols)
-    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want.fetchall())
