@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import ship, table
 
 #: The cut into pieces, as byte-level vocabularies define it; white space as in Unicode's White_Space.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -234,6 +234,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     The vocabulary file is read by the driver and sent along, so executors need no copy of it.
     """
+    ship(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         text = f.read()
     kind = df.schema[id_col].dataType.simpleString()

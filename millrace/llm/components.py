@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, ship
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +51,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Null and self links are dropped; repeated links do no harm; no links give no rows.
     """
+    ship(links.sparkSession)
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")).mapInArrow(_local, "u bigint, v bigint")
     e = cut(e.distinct())
     mark = _mark(e)

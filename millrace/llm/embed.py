@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table
+from millrace.llm.common import cut, ship, table
 from millrace.llm.components import components, forest
 
 COSINE = 0.9
@@ -130,6 +130,7 @@ def _verify(key: tuple, rows: pa.Table) -> pa.Table:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("own"), F.col(vec_col).alias("v"))
     # Vectors that can't link are classes of their own: null components make two arrays unlike.
     sound = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(True)) & F.exists("v", lambda c: c != 0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.boosting import Boosted
-from millrace.llm.common import table
+from millrace.llm.common import ship, table
 
 #: Pages that the model is trained on.
 TRAINING = 1600
@@ -363,6 +363,7 @@ def extract_all(sources: list[str | None], trees: Boosted) -> list[str]:
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training: int = TRAINING) -> DataFrame:
     """id, url, text and n_chars of every page."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model(training))
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 

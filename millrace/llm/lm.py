@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import ship, table
 
 ORDER, ALPHA, STRANGER = 2, 0.4, 24
 #: Tokens of the table for a chunk and for a bucket.
@@ -187,6 +187,7 @@ def _score(order: int, bits: int, buckets: int, tokens: int, alpha: float, kind:
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, chunks: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, n_backoff, log_score and mean_log_score."""
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     tokens = docs.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     chunks, buckets = chunks or max(12, tokens // CHUNK_TOKENS + 1), buckets or max(12, tokens // BUCKET_TOKENS + 1)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table
+from millrace.llm.common import cut, ship, table
 from millrace.llm.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -47,6 +47,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row."""
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

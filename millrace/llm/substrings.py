@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bwt import repeated
-from millrace.llm.common import cut, table
+from millrace.llm.common import cut, ship, table
 
 LENGTH = 400
 #: Bytes of an anchor: longer ones leave less to the transforms, shorter ones leave fewer anchors.
@@ -279,6 +279,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is left as text. A character that a cut leaves incomplete is dropped from ``kept``, not from the digest."""
     if not 0 < k < length or length - k > 255:
         raise ValueError("the anchor must be shorter than the length, by 255 bytes at most")
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     keyed = docs.select(_row_key().alias("u"), "doc", "text")
     spans = repeats(keyed.select("u", "text"), length, k, group)
