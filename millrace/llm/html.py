@@ -66,7 +66,7 @@ for _i, _words in enumerate(GROUPS.values()):
         _GROUP_OF.setdefault(_w, []).append(_i)
 TAGS = "article main section div p h1 h2 h3 ul ol li nav header footer aside form table blockquote pre figure figcaption td body html fieldset dl address details".split()
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
-NUMBERS = ("depth", "text", "links", "marks", "children", "place", "share", "of_parent", "siblings", "to_siblings", "long_words", "same_tag", "link_count", "in_content")
+NUMBERS = ("depth", "text", "links", "marks", "children", "place", "share", "of_parent", "siblings", "to_siblings", "word_length", "same_tag", "link_count", "in_content")
 FEATURES = len(TAGS) + len(GROUPS) + len(NUMBERS)
 
 
@@ -159,7 +159,7 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent = np.array(self.parent)
-        text, linked, marks, words, long, link_count = (np.zeros(n) for _ in range(6))
+        text, linked, marks, words, link_count = (np.zeros(n) for _ in range(5))
         for e, t, in_link in self.pieces:
             if t:
                 k = len(t)
@@ -181,7 +181,6 @@ class Page:
             p = self.parent[i]
             for a in (text, linked, marks, tags, words, link_count):
                 a[p] += a[i]
-        del long
         total = max(text[0], 1)
         up = np.maximum(parent, 0)
         kin = np.maximum(children[up], 1)

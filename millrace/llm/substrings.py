@@ -139,7 +139,7 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], ends + 1])].tolist(), places[np.concatenate([ends, [len(places) - 1]])].tolist(), strict=True))
 
 
-def _resolve(width: int, base: dict[str, int] | None, length: int):
+def _resolve(width: int, length: int):
     """Repeated windows of small groups; rows come sorted by key."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,20 +204,22 @@ def _halve(width: int):
 _FRAGMENT = "key bigint, u bigint, loc bigint, twin boolean, l binary, r binary, off int"
 
 
-def _unlike(frags: DataFrame, length: int, width: int, group: int) -> list[DataFrame]:
+def _unlike(frags: DataFrame, length: int, width: int, group: int, top: bool = True) -> list[DataFrame]:
     """(u, s, e) of repeated windows in groups of unlike fragments; crowded groups are halved."""
     sizes = cut(frags.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     met = frags.join(sizes, "key")
     few = met.filter(F.col("m") <= group).select("key", "u", "loc", "twin", "l", "r", "off")
+    # Dealt by a hash of the key: dealt by the key, it would be merged with the join's exchange, whose
+    # partitions are joined by their bytes, and sorting costs much more than these bytes say.
     parts = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = [few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve(width, None, length), "u bigint, s bigint, e bigint")]
+    found = [few.repartition(parts if top else max(1, parts // 4), F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_resolve(width, length), "u bigint, s bigint, e bigint")]
     if not sizes.filter(F.col("m") > group).limit(1).collect():
         return found
     halves = cut(met.filter(F.col("m") > group).select("key", "u", "loc", "twin", "l", "r", "off").mapInArrow(_halve(width), _FRAGMENT + ", width int"))
     # A twin stands for fragments whose verdict is known; others become twins where they are alike now.
     alike = halves.groupBy("key", "width", "l", "r").agg(F.count("*").alias("n"), F.min(F.struct("u", "loc", "off", "twin")).alias("one"))
     alike = cut(alike)
-    whole = halves.join(alike.filter("n > 1").select("key", "width", "l", "r"), ["key", "width", "l", "r"]).filter("NOT twin")
+    whole = halves.join(alike.filter("n > 1").select("key", "width", "l", "r").hint("merge"), ["key", "width", "l", "r"]).filter("NOT twin")
     p = F.shiftright("loc", 16) + F.shiftright("loc", 8).bitwiseAND(F.lit(255))
     # Windows of the half: y from width - len(r) to len(l) bytes left of its anchor.
     found.append(whole.select("u", (p - F.col("off") - F.octet_length("l")).alias("s"), (p - F.col("off") - (F.col("width") - F.octet_length("r")) + length).alias("e")))
@@ -225,7 +227,7 @@ def _unlike(frags: DataFrame, length: int, width: int, group: int) -> list[DataF
     for wd in sorted({(width + 1) // 2 - 1, width - (width + 1) // 2}):
         rows = left.filter((F.col("width") == wd) & (F.lit(wd) > 0)).drop("width")
         if wd > 0:
-            found += _unlike(rows, length, wd, group)
+            found += _unlike(rows, length, wd, group, False)
     return found
 
 
@@ -236,7 +238,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int =
     members = cut(found.join(again, "h"))
     alike = cut(members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("u", "loc")).alias("one")))
     lo = F.shiftright("loc", 16)
-    whole = members.join(alike.filter("n > 1").select("h", "d"), ["h", "d"]).select("u", lo.alias("s"), (lo + F.col("loc").bitwiseAND(F.lit(255)) + length).alias("e"))
+    # A merge join, whose skewed keys are split: a common passage has very many members.
+    whole = members.join(alike.filter("n > 1").select("h", "d").hint("merge"), ["h", "d"]).select("u", lo.alias("s"), (lo + F.col("loc").bitwiseAND(F.lit(255)) + length).alias("e"))
     mixed = alike.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("h")
     asked = alike.join(cut(mixed), "h").select("one.u", F.struct("h", "one.loc", (F.col("n") > 1).alias("twin")).alias("a")).groupBy("u").agg(F.collect_list("a").alias("asked"))
     # Rows that are alike in id and text share u: one of them serves.
@@ -248,7 +251,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int =
     return cut(spans.distinct().groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
-def _apply(kind: pa.DataType | None, with_text: bool):
+def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -286,7 +289,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema["doc"].dataType.simpleString()
     joined = keyed.join(spans, "u", "left").select("doc", "text", "spans")
     schema = f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "")
-    return joined.mapInArrow(_apply(None, with_text), schema).withColumnRenamed("doc", id_col)
+    return joined.mapInArrow(_apply(with_text), schema).withColumnRenamed("doc", id_col)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
