@@ -31,7 +31,7 @@ from millrace.llm.common import ship, table
 
 ORDER, ALPHA, STRANGER = 2, 0.4, 24
 #: Tokens of the table for a chunk and for a bucket.
-CHUNK_TOKENS, BUCKET_TOKENS = 3_000_000, 2_500_000
+CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _GAP = np.zeros(256, bool)
