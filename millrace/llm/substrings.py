@@ -233,7 +233,8 @@ def _unlike(frags: DataFrame, length: int, width: int, group: int, top: bool = T
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """(u, spans) for the rows (u, text) that have windows starting elsewhere too; spans are [s, e) in bytes and may overlap."""
-    found = docs.mapInArrow(_scan(length, k), "u bigint, h bigint, d bigint, loc bigint")
+    # Written once: hashing the texts again would cost more than reading these back.
+    found = cut(docs.mapInArrow(_scan(length, k), "u bigint, h bigint, d bigint, loc bigint"))
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     members = cut(found.join(again, "h"))
     alike = cut(members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("u", "loc")).alias("one")))
