@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by the ordered list of its nearest pivots, reference vectors drawn from the
-data. Inverted lists hold, for each pivot, the vectors that name it; within a list, vectors that share
-enough pivots are candidates, and candidates are verified by their cosine in double precision. A pair
+data. Inverted lists hold, for each pivot, the vectors that name it; all vectors of a list are compared
+by their cosine in double precision, so that one shared pivot is enough at any number of pivots. A pair
 that meets in several lists is counted in that of its smallest shared pivot.
 
 Equal vectors are one class with a count, so copies are never paired. Lists are cut into blocks of
@@ -30,8 +30,8 @@ from millrace.llm.common import cut, ship, table
 from millrace.llm.components import components, forest
 
 COSINE = 0.9
-#: Pivots named by a vector, and how many two vectors must share to be verified.
-NEAREST, SHARED = 6, 2
+#: Pivots named by a vector: so many, and one more for every MORE pivots there are.
+NEAREST, MORE = 6, 1024
 #: One pivot per so many vectors, within these bounds.
 PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST = 40, 16, 4096
 #: Two pivots have a cosine below this.
@@ -78,7 +78,7 @@ def index(classes: DataFrame, piv: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        k = min(NEAREST, len(p))
+        k = min(NEAREST + len(p) // MORE, len(p))
         for b in batches:
             near: list = [[]] * b.num_rows
             if len(p):
@@ -103,28 +103,18 @@ def _verify(key: tuple, rows: pa.Table) -> pa.Table:
     v = rows["v"].combine_chunks()
     x = v.flatten().cast(pa.float64()).to_numpy().reshape(len(ids), -1)
     norm = np.sqrt((x * x).sum(1))
-    weight, us, vs = np.zeros(len(ids), np.int64), [], []
-    second = np.flatnonzero(side == hi)
-    for i in np.flatnonzero(side == lo):
-        others = second if lo != hi else second[second > i]
-        if not len(others):
-            continue
-        shared = (near[others][:, :, None] == near[i]).any(2).sum(1)
-        others = others[shared >= min(SHARED, near.shape[1])]
-        if not len(others):
-            continue
-        others = others[x[others] @ x[i] / (norm[others] * norm[i]) >= COSINE]
-        if not len(others):
-            continue
-        us.append(np.full(len(others), ids[i]))
-        vs.append(ids[others])
-        # The pair counts here if no smaller pivot is shared.
-        low = np.where((near[others][:, :, None] == near[i]).any(2), near[others], np.iinfo(np.int32).max).min(1)
-        first = others[low == pivot]
-        weight[i] += n[first].sum()
-        weight[first] += n[i]
+    weight = np.zeros(len(ids), np.int64)
+    first, second = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    close = x[first] @ x[second].T / (norm[first][:, None] * norm[second]) >= COSINE
+    i, j = np.nonzero(np.triu(close, 1) if lo == hi else close)
+    i, j = first[i], second[j]
+    a, b = forest(ids[i], ids[j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # A pair counts here if no smaller pivot is shared.
+    low = np.where((near[i][:, :, None] == near[j][:, None, :]).any(2), near[i], np.iinfo(np.int32).max).min(1)
+    i, j = i[low == pivot], j[low == pivot]
+    np.add.at(weight, i, n[j])
+    np.add.at(weight, j, n[i])
     hit = np.flatnonzero(weight)
-    a, b = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return pa.table({"a": pa.array(np.concatenate([a, ids[hit]]), pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(hit)], pa.int64()), "w": pa.array([*[0] * len(a), *weight[hit].tolist()], pa.int64())})
 
 

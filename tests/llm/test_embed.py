@@ -67,3 +67,23 @@ def test_recall_on_whole_table(spark):
     assert have.keys() == want.keys()
     total = sum(w[0] for w in want.values())
     assert sum(h[0] for h in have.values()) >= 0.99 * total and all(have[i][0] <= want[i][0] for i in want)
+
+
+def test_recall_at_most_pivots(spark, monkeypatch):
+    """Pairs planted at cosine 0.90 to 0.95 among as many pivots as a large table has."""
+    rng = np.random.default_rng(8)
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    known = [np.stack(g.to_numpy()).astype(float) for _, g in t.groupby("label")["embedding"]]
+    known = [g / np.sqrt((g * g).sum(1))[:, None] for g in known]
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    draw = lambda n: unit(rng.permutation(np.concatenate([rng.multivariate_normal(g.mean(0), np.cov(g.T), n // len(known) + 1) for g in known]))[:n])
+    piv, base, off = draw(embed.PIVOTS_MOST), draw(1000), rng.normal(size=(1000, known[0].shape[1]))
+    c = rng.uniform(0.9001, 0.95, (1000, 1))
+    near = c * base + np.sqrt(1 - c * c) * unit(off - (off * base).sum(1)[:, None] * base)
+    rows = dict(enumerate(np.concatenate([base, near]).tolist()))
+    monkeypatch.setattr(embed, "pivots", lambda classes: piv)
+    have = got(embed.near_duplicates(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")))
+    want = brute(rows)
+    total = sum(w[0] for w in want.values())
+    assert total >= 2000 and all(have[i][0] <= want[i][0] for i in want)
+    assert sum(h[0] for h in have.values()) >= 0.99 * total
