@@ -158,6 +158,12 @@ def q_comma_join(s, d):
     return s.sql("SELECT c_name, n_name FROM {c}, {n} WHERE c_nationkey = n_nationkey AND c_custkey < 100", c=c, n=n)
 
 
+@query("SELECT c_name, n_name FROM customer, nation WHERE c_nationkey = n_nationkey")
+def q_comma_join_whole(s, d):
+    c, n = read_table(s, d, "customer"), read_table(s, d, "nation")
+    return s.sql("SELECT c_name, n_name FROM {c}, {n} WHERE c_nationkey = n_nationkey", c=c, n=n)
+
+
 # ---- aggregates
 
 for _name, _args, _sql in (
