@@ -242,6 +242,12 @@ def q_order_multi(s, d):
     return limit(order_by(c, [F.col("c_mktsegment"), F.col("c_nationkey"), F.col("c_custkey")], [False, True, False]), 200)
 
 
+@query("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_nationkey, c_custkey DESC")
+def q_order_multi_whole(s, d):
+    c = read_table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return order_by(c, [F.col("c_mktsegment"), F.col("c_nationkey"), F.col("c_custkey")], [False, True, False])
+
+
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name")
 def q_order_all(s, d):
     return order_by(read_table(s, d, "nation").select("n_nationkey", "n_name"), [F.col("n_name")], [True])
@@ -253,6 +259,12 @@ def q_order_expr(s, d):
     return limit(order_by(o, [F.col("o_custkey") * lit(2) - F.col("o_orderkey"), F.col("o_orderkey")], [True, True]), 10)
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey * 2 - o_orderkey, o_orderkey")
+def q_order_expr_whole(s, d):
+    o = read_table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return order_by(o, [F.col("o_custkey") * lit(2) - F.col("o_orderkey"), F.col("o_orderkey")], [True, True])
+
+
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
 def q_limit_topk(s, d):
     a = aggregate(read_table(s, d, "orders"), [("count", "*", "n")], [F.col("o_custkey")])
