@@ -30,10 +30,16 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts, texts without a letter, and texts that share nothing with
+    any learned language. Where none could be learned, only the letters decide; a label that couldn't be
+    learned speaks for its text."""
     model = langid.fit(docs)
+    learned = model.learned()
+    if not learned:
+        return langid.lettered(docs)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return langid.predict(rows, model, "row", "text").filter("lang_pred <> 'und'").select("row.*")
+    strange = F.coalesce(~F.col("row.lang").isin(learned), F.lit(False))
+    return langid.predict(rows, model, "row", "text").filter((F.col("lang_pred") != "und") & ((F.col("score") > 0) | strange)).select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

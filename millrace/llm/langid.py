@@ -79,6 +79,10 @@ class Filter:
         for p in self.places(h):
             self.slots[p, lang // 64] |= np.uint64(1 << lang % 64)
 
+    def learned(self) -> list[str]:
+        """The languages that have n-grams."""
+        return [lang for lang, rate in zip(self.langs, self.false_positives(), strict=True) if rate > 0]
+
     def false_positives(self) -> np.ndarray:
         """Per language: the share of strange n-grams that its bits let through."""
         bits = np.array([np.count_nonzero(self.slots[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.langs))])
@@ -134,7 +138,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 seen.setdefault(lang, []).extend(ngrams(text))
         for lang, hs in seen.items():
             h, n = np.unique(np.concatenate([*hs, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(h)), "h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(h), pa.string()), "h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     counted = rows.filter(draw < rate).select("lang", "text").mapInArrow(count, "lang string, h bigint, n bigint")
     per = counted.groupBy("h", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toPandas()
@@ -164,6 +168,17 @@ def predict(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
 
 
+def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([has_letter(x.as_py()) for x in b.column(text_col)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

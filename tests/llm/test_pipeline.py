@@ -59,3 +59,21 @@ def test_odd_rows(spark):
         for _, f in cp.STAGES:
             docs = cp.cut(f(spark, docs, DATA))
         assert docs.count() >= n
+
+
+def test_language_stage_decides_by_evidence(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(k, "the of and to in that is " * 4, "en", "a", 100) for k in range(12)]
+    odd = [(20, "\u4f60\u597d\u4e16\u754c " * 9, None, "a", 45), (21, "\u4f60\u597d\u4e16\u754c " * 9, "en", "a", 45), (22, "12 34", "en", "a", 5), (23, None, "en", "a", None)]
+    # A label none of whose texts teaches anything.
+    rare = [(24, "\u0434\u0430", "ru", "a", 2)]
+    stage = lambda data: sorted(r.doc_id for r in cp.language_id(spark, spark.createDataFrame(data, schema), DATA).collect())
+    assert stage(rows + odd + rare) == [*range(12), 24]
+
+
+def test_language_stage_without_languages(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the of and", None, "a", 10), (2, "\u4f60\u597d", None, "a", 2), (3, "12 34", None, "a", 5), (4, None, None, "a", None), (5, "", None, "a", 0)]
+    for lang in (None, "en"):  # no label, or too little text to learn from
+        docs = spark.createDataFrame([(*r[:2], lang, *r[3:]) for r in rows], schema)
+        assert sorted(r.doc_id for r in cp.language_id(spark, docs, DATA).collect()) == [1, 2]
