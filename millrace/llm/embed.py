@@ -12,8 +12,9 @@ leaves a task is one count a vector and a spanning forest, not the pairs.
 The pivots are a bounded sample (PIVOTS_MOST); every row is indexed. Recall against brute force is
 measured in the tests.
 
-Cases: null or zero vectors, null or non-finite components, and vectors that have not the pivots'
-commonest length link with nothing; repeated rows are copies; an empty table gives no rows; other
+Each length of vectors has pivots and lists of its own; a length of few vectors is one list.
+
+Cases: null or zero vectors and null or non-finite components link with nothing; repeated rows are copies; an empty table gives no rows; other
 columns of the input play no part.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,17 +74,22 @@ def pivots(classes: DataFrame) -> np.ndarray:
     return x[apart]
 
 
-def index(classes: DataFrame, piv: np.ndarray) -> DataFrame:
-    """(id, n, v, near): ``near`` are the nearest pivots in order; none for vectors that can't link."""
-    shared = classes.sparkSession.sparkContext.broadcast(piv.astype(np.float32))
+def index(classes: DataFrame, piv: dict[int, np.ndarray]) -> DataFrame:
+    """(id, n, v, near): ``near`` are the nearest pivots of the vector's length in order, or
+    the one list of a length without pivots; none for vectors that can't link."""
+    shared = classes.sparkSession.sparkContext.broadcast({dim: p.astype(np.float32) for dim, p in piv.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        k = min(NEAREST + len(p) // MORE, len(p))
         for b in batches:
             near: list = [[]] * b.num_rows
-            if len(p):
-                rows, x = _clean(b.column(2), p.shape[1])
+            for dim in set(pa.compute.list_value_length(b.column(2)).to_pylist()):
+                rows, x = _clean(b.column(2), dim)
+                p = shared.value.get(dim)
+                if p is None or not len(p):
+                    for r in rows:
+                        near[r] = [0]
+                    continue
+                k = min(NEAREST + len(p) // MORE, len(p))
                 for at in range(0, len(rows), 1024):
                     sim = x[at : at + 1024].astype(np.float32) @ p.T
                     top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
@@ -96,7 +103,7 @@ def index(classes: DataFrame, piv: np.ndarray) -> DataFrame:
 
 def _verify(key: tuple, rows: pa.Table) -> pa.Table:
     """Compare one block with itself, or two blocks of a list: (a, b) links of a forest, and (a, null, weight) counts."""
-    pivot, lo, hi = (k.as_py() for k in key)
+    _, pivot, lo, hi = (k.as_py() for k in key)
     rows = rows.combine_chunks()
     ids, n, side = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
     near = rows["near"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
@@ -126,14 +133,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sound = F.col("v").isNotNull() & ~F.coalesce(F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(True)) & F.exists("v", lambda c: c != 0)
     rows = rows.select("own", "v", F.coalesce(sound, F.lit(False)).alias("sound"))
     classes = cut(rows.filter("sound").groupBy("v").agg(F.min("own").alias("id"), F.count("*").alias("n")).select("id", "n", "v").filter("id IS NOT NULL"))
-    described = cut(index(classes, pivots(classes)))
-    posts = described.select("id", "n", "v", "near", F.explode("near").alias("pivot"))
-    lists = posts.groupBy("pivot").agg(F.count("*").alias("size")).select("pivot", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    # At most PIVOTS_MOST lists.
-    posts = posts.join(F.broadcast(lists), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    posts = posts.select("pivot", "id", "n", "v", "near", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = posts.select("pivot", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "n", "v", "near", "block")
-    found = cut(units.groupBy("pivot", "lo", "hi").applyInArrow(_verify, "a bigint, b bigint, w bigint"))
+    sizes = classes.groupBy(F.size("v").alias("dim")).count().collect()
+    piv = {r["dim"]: pivots(classes.filter(F.size("v") == r["dim"])) for r in sizes if r["count"] > PER_PIVOT * PIVOTS_LEAST}
+    described = cut(index(classes, piv))
+    posts = described.select(F.size("v").alias("dim"), "id", "n", "v", "near", F.explode("near").alias("pivot"))
+    lists = posts.groupBy("dim", "pivot").agg(F.count("*").alias("size")).select("dim", "pivot", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    # At most PIVOTS_MOST lists a length.
+    posts = posts.join(F.broadcast(lists), ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    posts = posts.select("dim", "pivot", "id", "n", "v", "near", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    units = posts.select("dim", "pivot", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "n", "v", "near", "block")
+    found = cut(units.groupBy("dim", "pivot", "lo", "hi").applyInArrow(_verify, "a bigint, b bigint, w bigint"))
     comp = components(found.filter("b IS NOT NULL").select("a", "b"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("w"))
     known = classes.join(links, "id", "left").join(comp, "id", "left")

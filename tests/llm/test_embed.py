@@ -87,3 +87,20 @@ def test_recall_at_most_pivots(spark, monkeypatch):
     total = sum(w[0] for w in want.values())
     assert total >= 2000 and all(have[i][0] <= want[i][0] for i in want)
     assert sum(h[0] for h in have.values()) >= 0.99 * total
+
+
+def test_lengths_are_indexed_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim, n in ((16, 700), (8, 660), (5, 40)):
+        c = rng.normal(size=(n // 10, dim))
+        rows += [(c[k % len(c)] + 0.05 * rng.normal(size=dim)).tolist() for k in range(n)]
+    data = dict(enumerate(rows))
+    want = {}
+    for dim in (16, 8, 5):
+        want |= brute({i: v for i, v in data.items() if len(v) == dim})
+    have = got(embed.near_duplicates(spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")))
+    assert all(sum(want[i][0] for i in data if len(data[i]) == d) > 0 for d in (16, 8, 5))
+    for d in (16, 8, 5):
+        ids = [i for i in data if len(data[i]) == d]
+        assert sum(have[i][0] for i in ids) >= 0.99 * sum(want[i][0] for i in ids) and all(have[i][0] <= want[i][0] for i in ids)
