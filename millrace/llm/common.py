@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six white-space characters that part words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -65,6 +66,11 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def returns(df: DataFrame, columns: list[str], rest: str) -> StructType:
+    """The schema of some columns as they are, whatever the names in their types, and of more."""
+    return StructType([*(df.schema[c] for c in columns), *StructType.fromDDL(rest).fields])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often and wherever the body names it."""
     return F.transform(F.array(value), body)[0]

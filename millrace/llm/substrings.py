@@ -12,9 +12,14 @@ at least half-way left of the anchor share that much more text, and so do the ot
 fragments go to a group of either half under the key of the longer common text, where equal ones are
 one again, until groups are small.
 
+A row is told from others by 128 bits of hash of its id and text. Keys with more than one in HEAVY of
+all rows, of which there are HEAVY at most, are joined by broadcasting them, so that no task of a join
+gets all members of a common passage.
+
 Cases: null is the empty text; texts shorter than the length lose nothing; repeated rows and copies
-repeat each other and are removed wholly if long enough; an empty table gives no rows; other columns
-of the input play no part.
+repeat each other and are removed wholly if long enough; very long texts are hashed in chunks that
+overlap by a window, so no window is lost; of equally small hashes the leftmost is the anchor; an empty
+table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -25,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bwt import repeated
-from millrace.llm.common import cut, ship, table
+from millrace.llm.common import cut, returns, ship, table
 
 LENGTH = 400
 #: Bytes of an anchor: longer ones leave less to the transforms, shorter ones leave fewer anchors.
@@ -40,6 +45,8 @@ GROUP, SYMBOLS = 256, 1 << 19
 GROUPS = 150
 #: Windows of a text that are handled at once.
 CHUNK = 1 << 20
+#: A key is heavy with more than one in so many rows.
+HEAVY = 1000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -89,8 +96,21 @@ def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> Iterator[tupl
         yield z[p].view(np.int64), digest.view(np.int64), lo + at, p + at, hi + at
 
 
-def _row_key() -> object:
-    return F.xxhash64("doc", F.coalesce("text", F.lit("")))
+def _row_key() -> list[Column]:
+    """128 bits of hash as two columns."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64("doc", text).alias("u"), F.xxhash64(F.lit("second"), text, "doc").alias("x")]
+
+
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str], n: str, want: Column | None = None) -> DataFrame:
+    """Rows whose key is among those of ``keys`` that are wanted; column ``n`` of these unique keys says how many rows each has.
+
+    The heavy keys are HEAVY at most whatever the table's size, which bounds the broadcast."""
+    limit = max(1, rows.count() // HEAVY)
+    want = F.lit(True) if want is None else want
+    heavy = keys.filter(F.col(n) > limit)
+    hot, cold = F.broadcast(heavy.filter(want).select(*on)), keys.filter((F.col(n) <= limit) & want).select(*on)
+    return rows.join(hot, on).union(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(cold, on))
 
 
 def _data(x) -> bytes:
@@ -101,14 +121,14 @@ def _scan(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                cols: list[list[np.ndarray]] = [[], [], [], []]
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 part = b.slice(at, 512)
-                for u, text in zip(part.column(0).to_numpy(), part.column(1), strict=True):
+                for u, x, text in zip(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), strict=True):
                     for h, d, lo, p, hi in anchors(_data(text), length, k):
-                        for c, v in zip(cols, (np.full(len(h), u), h, d, lo << 16 | (p - lo) << 8 | (hi - lo)), strict=True):
+                        for c, v in zip(cols, (np.full(len(h), u), np.full(len(h), x), h, d, lo << 16 | (p - lo) << 8 | (hi - lo)), strict=True):
                             c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["u", "h", "d", "loc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["u", "x", "h", "d", "loc"])
 
     return run
 
@@ -118,15 +138,15 @@ def _fetch(length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("key", "u", "loc", "twin", "l", "r")}
-            for u, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            out: dict[str, list] = {c: [] for c in ("key", "u", "x", "loc", "twin", "l", "r")}
+            for u, x, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = _data(text)
                 for a in asked:
                     lo = a["loc"] >> 16
                     p, hi = lo + (a["loc"] >> 8 & 255), lo + (a["loc"] & 255)
-                    for c, v in zip(out, (a["h"], u, a["loc"], a["twin"], data[lo:p], data[p + k : hi + length]), strict=True):
+                    for c, v in zip(out, (a["h"], u, x, a["loc"], a["twin"], data[lo:p], data[p + k : hi + length]), strict=True):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], list(out))
 
     return run
 
@@ -145,10 +165,10 @@ def _resolve(width: int, length: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         # One symbol for each group's anchor, above the bytes.
         symbol = {key: 257 + i for i, key in enumerate(dict.fromkeys(r[0] for r in rows))}
-        strings = [np.concatenate([np.frombuffer(r[4], np.uint8).astype(np.int64) + 1, [symbol[r[0]]], np.frombuffer(r[5], np.uint8).astype(np.int64) + 1]) for r in rows]
-        us, ss, es = [], [], []
+        strings = [np.concatenate([np.frombuffer(r[5], np.uint8).astype(np.int64) + 1, [symbol[r[0]]], np.frombuffer(r[6], np.uint8).astype(np.int64) + 1]) for r in rows]
+        us, xs, ss, es = [], [], [], []
         for r, hit in zip(rows, repeated(strings, width + 1), strict=True):
-            _, u, loc, twin, left, _, off = r
+            _, u, x, loc, twin, left, _, off = r
             if twin:
                 continue
             p = (loc >> 16) + (loc >> 8 & 255)
@@ -156,9 +176,10 @@ def _resolve(width: int, length: int):
             q = np.flatnonzero(hit[: len(left) + 1])
             for a, b in _runs(q):
                 us.append(u)
+                xs.append(x)
                 ss.append(p - off - (len(left) - a))
                 es.append(p - off - (len(left) - b) + length)
-        return pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "s": pa.array(ss, pa.int64()), "e": pa.array(es, pa.int64())})
+        return pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "x": pa.array(xs, pa.int64()), "s": pa.array(ss, pa.int64()), "e": pa.array(es, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -171,7 +192,7 @@ def _resolve(width: int, length: int):
                         yield solve(held)
                         held, size, groups = [], 0, 0
                 held.append(row)
-                size += len(row[4]) + len(row[5]) + 2
+                size += len(row[5]) + len(row[6]) + 2
         if held:
             yield solve(held)
 
@@ -185,45 +206,47 @@ def _halve(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for key, u, loc, twin, left, right, off in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            for key, u, x, loc, twin, left, right, off in zip(*[x.to_pylist() for x in b.columns], strict=True):
                 seed = key & (1 << 64) - 1
                 if len(right) >= width - (c - 1):
                     core = right[: width - (c - 1)]
-                    out.append((xxhash.xxh64_intdigest(b"R" + core, seed), u, loc, twin, left[len(left) - min(len(left), c - 1) :], right[len(core) :], off, c - 1))
+                    out.append((xxhash.xxh64_intdigest(b"R" + core, seed), u, x, loc, twin, left[len(left) - min(len(left), c - 1) :], right[len(core) :], off, c - 1))
                 if len(left) >= c:
                     core = left[len(left) - c :]
-                    out.append((xxhash.xxh64_intdigest(b"L" + core, seed), u, loc, twin, left[: len(left) - c], right[: width - c], off + c, width - c))
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
+                    out.append((xxhash.xxh64_intdigest(b"L" + core, seed), u, x, loc, twin, left[: len(left) - c], right[: width - c], off + c, width - c))
+            cols = list(zip(*out, strict=True)) if out else [()] * 9
             keys = pa.array(np.array(cols[0], np.uint64).view(np.int64))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v, t) for v, t in zip(cols[1:], kinds, strict=True)]], ["key", "u", "loc", "twin", "l", "r", "off", "width"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v, t) for v, t in zip(cols[1:], kinds, strict=True)]], ["key", "u", "x", "loc", "twin", "l", "r", "off", "width"])
 
     return run
 
 
-_FRAGMENT = "key bigint, u bigint, loc bigint, twin boolean, l binary, r binary, off int"
+_COLUMNS = ["key", "u", "x", "loc", "twin", "l", "r"]
+_FRAGMENT = "key bigint, u bigint, x bigint, loc bigint, twin boolean, l binary, r binary"
+_SPAN = "u bigint, x bigint, s bigint, e bigint"
 
 
 def _unlike(frags: DataFrame, length: int, width: int, group: int, top: bool = True) -> list[DataFrame]:
-    """(u, s, e) of repeated windows in groups of unlike fragments; crowded groups are halved."""
+    """(u, x, s, e) of repeated windows in groups of unlike fragments; crowded groups are halved."""
     sizes = cut(frags.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
-    met = frags.join(sizes, "key")
-    few = met.filter(F.col("m") <= group).select("key", "u", "loc", "twin", "l", "r", "off")
+    few = _meet(frags, sizes, ["key"], "m", F.col("m") <= group).select(*_COLUMNS, "off")
     # Dealt by a hash of the key: dealt by the key, it would be merged with the join's exchange, whose
     # partitions are joined by their bytes, and sorting costs much more than these bytes say.
     parts = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = [few.repartition(parts if top else max(1, parts // 4), F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_resolve(width, length), "u bigint, s bigint, e bigint")]
+    found = [cut(few.repartition(parts if top else max(1, parts // 4), F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_resolve(width, length), _SPAN))]
     if not sizes.filter(F.col("m") > group).limit(1).collect():
         return found
-    halves = cut(met.filter(F.col("m") > group).select("key", "u", "loc", "twin", "l", "r", "off").mapInArrow(_halve(width), _FRAGMENT + ", width int"))
+    crowded = _meet(frags, sizes, ["key"], "m", F.col("m") > group)
+    halves = cut(crowded.select(*_COLUMNS, "off").mapInArrow(_halve(width), _FRAGMENT + ", off int, width int"))
     # A twin stands for fragments whose verdict is known; others become twins where they are alike now.
-    alike = halves.groupBy("key", "width", "l", "r").agg(F.count("*").alias("n"), F.min(F.struct("u", "loc", "off", "twin")).alias("one"))
-    alike = cut(alike)
-    whole = halves.join(alike.filter("n > 1").select("key", "width", "l", "r").hint("merge"), ["key", "width", "l", "r"]).filter("NOT twin")
+    same = ["key", "width", "l", "r"]
+    alike = cut(halves.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("u", "x", "loc", "off", "twin")).alias("one")))
+    whole = _meet(halves, alike.filter("n > 1"), same, "n").filter("NOT twin")
     p = F.shiftright("loc", 16) + F.shiftright("loc", 8).bitwiseAND(F.lit(255))
     # Windows of the half: y from width - len(r) to len(l) bytes left of its anchor.
-    found.append(whole.select("u", (p - F.col("off") - F.octet_length("l")).alias("s"), (p - F.col("off") - (F.col("width") - F.octet_length("r")) + length).alias("e")))
-    left = alike.select("key", "one.u", "one.loc", (F.col("one.twin") | (F.col("n") > 1)).alias("twin"), "l", "r", "one.off", "width")
+    found.append(cut(whole.select("u", "x", (p - F.col("off") - F.octet_length("l")).alias("s"), (p - F.col("off") - (F.col("width") - F.octet_length("r")) + length).alias("e"))))
+    left = alike.select("key", "one.u", "one.x", "one.loc", (F.col("one.twin") | (F.col("n") > 1)).alias("twin"), "l", "r", "one.off", "width")
     for wd in sorted({(width + 1) // 2 - 1, width - (width + 1) // 2}):
         rows = left.filter((F.col("width") == wd) & (F.lit(wd) > 0)).drop("width")
         if wd > 0:
@@ -232,24 +255,23 @@ def _unlike(frags: DataFrame, length: int, width: int, group: int, top: bool = T
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """(u, spans) for the rows (u, text) that have windows starting elsewhere too; spans are [s, e) in bytes and may overlap."""
+    """(u, x, spans) for the rows (u, x, text) that have windows starting elsewhere too; spans are [s, e) in bytes and may overlap."""
     # Written once: hashing the texts again would cost more than reading these back.
-    found = cut(docs.mapInArrow(_scan(length, k), "u bigint, h bigint, d bigint, loc bigint"))
-    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    members = cut(found.join(again, "h"))
-    alike = cut(members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("u", "loc")).alias("one")))
+    found = cut(docs.mapInArrow(_scan(length, k), "u bigint, x bigint, h bigint, d bigint, loc bigint"))
+    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = cut(_meet(found, again, ["h"], "n"))
+    alike = cut(members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("u", "x", "loc")).alias("one")))
     lo = F.shiftright("loc", 16)
-    # A merge join, whose skewed keys are split: a common passage has very many members.
-    whole = members.join(alike.filter("n > 1").select("h", "d").hint("merge"), ["h", "d"]).select("u", lo.alias("s"), (lo + F.col("loc").bitwiseAND(F.lit(255)) + length).alias("e"))
-    mixed = alike.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("h")
-    asked = alike.join(cut(mixed), "h").select("one.u", F.struct("h", "one.loc", (F.col("n") > 1).alias("twin")).alias("a")).groupBy("u").agg(F.collect_list("a").alias("asked"))
-    # Rows that are alike in id and text share u: one of them serves.
-    frags = docs.join(cut(asked), "u").dropDuplicates(["u"]).select("u", "text", "asked").mapInArrow(_fetch(length, k), "key bigint, u bigint, loc bigint, twin boolean, l binary, r binary")
+    whole = _meet(members, alike.filter("n > 1"), ["h", "d"], "n")
+    spans = cut(whole.select("u", "x", lo.alias("s"), (lo + F.col("loc").bitwiseAND(F.lit(255)) + length).alias("e")))
+    mixed = cut(alike.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1"))
+    asked = _meet(alike, mixed, ["h"], "m", F.col("least") == 1).select("one.u", "one.x", F.struct("h", "one.loc", (F.col("n") > 1).alias("twin")).alias("a")).groupBy("u", "x").agg(F.collect_list("a").alias("asked"))
+    # Rows that are alike in id and text share their key: one of them serves.
+    frags = docs.join(cut(asked), ["u", "x"]).dropDuplicates(["u", "x"]).select("u", "x", "text", "asked").mapInArrow(_fetch(length, k), _FRAGMENT)
     frags = cut(frags.withColumn("off", F.lit(0)))
-    spans = whole
     for part in _unlike(frags, length, length - k, group):
         spans = spans.union(part)
-    return cut(spans.distinct().groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    return cut(spans.distinct().groupBy("u", "x").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
 def _apply(with_text: bool):
@@ -285,11 +307,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("the anchor must be shorter than the length, by 255 bytes at most")
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    keyed = docs.select(_row_key().alias("u"), "doc", "text")
-    spans = repeats(keyed.select("u", "text"), length, k, group)
-    kind = docs.schema["doc"].dataType.simpleString()
-    joined = keyed.join(spans, "u", "left").select("doc", "text", "spans")
-    schema = f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "")
+    keyed = docs.select(*_row_key(), "doc", "text")
+    spans = repeats(keyed.select("u", "x", "text"), length, k, group)
+    joined = keyed.join(spans, ["u", "x"], "left").select("doc", "text", "spans")
+    schema = returns(docs, ["doc"], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else ""))
     return joined.mapInArrow(_apply(with_text), schema).withColumnRenamed("doc", id_col)
 
 
