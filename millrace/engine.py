@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import enum
 import os
+import re
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ from millrace.sources import read_delimited
 from millrace.txn import Store, Transaction
 
 
+def _local(uri: str) -> str:
+    """The path of a file's address on the store's file system."""
+    return unquote(re.sub(r"^file:/+", "/", uri))
+
+
 class QueryType(enum.Enum):
     ITERATOR = "iterator"
     BEGIN = "begin"
@@ -58,6 +65,11 @@ class Engine:
             txn.put(txn.view.get(t.name))
         txn.commit()
 
+    def vacuum(self, older: float = 3600.0) -> list[str]:
+        """Remove what no table names and what is older than so many seconds: dropped tables, superseded and rolled-back versions.
+        Transactions that began before may still read these, so give them time."""
+        return self.store.vacuum(older)
+
     def save_catalog(self, path: str) -> None:
         with open(path, "w") as f:
             f.write(str(self.catalog))
@@ -128,8 +140,8 @@ class Connection:
         text = frontend.rewrite(sql)
         self._show(txn or self.txn or Transaction(self.store), text)
         df = self.spark.sql(text)
-        frontend.refuse(df, text)
-        return df
+        frontend.refuse(df)
+        return frontend.named(df, sql)
 
     def _append(self, txn: Transaction, name: str, df: DataFrame) -> int:
         table = txn.read(name)
@@ -149,7 +161,7 @@ class Connection:
         return self._in_txn(lambda txn: self._append(txn, name, df))
 
     def delete(self, name: str, condition: str | None = None) -> int:
-        """Copy-on-write: rows whose condition is not true move to a new folder; the rest are counted."""
+        """Copy-on-write, file by file: only files that hold a row whose condition is true are written anew, without such rows."""
 
         def work(txn: Transaction) -> int:
             table = txn.read(name)
@@ -161,16 +173,28 @@ class Connection:
             cond = frontend.rewrite(condition)
             self._show(txn, cond)
             hit = F.coalesce(F.expr(cond), F.lit(False))
-            frontend.refuse(df.filter(hit), cond)
-            n = df.filter(hit).count()
-            if n:
+            frontend.refuse(df.filter(hit))
+            if not table.folders:
+                return 0
+            touched = {r["file"]: r["n"] for r in df.select(F.col("_metadata.file_path").alias("file"), hit.alias("hit")).filter("hit").groupBy("file").agg(F.count("*").alias("n")).collect()}
+            if touched:
+                own = {_local(f) for f in touched}
+                left = []
+                for path in table.folders:
+                    files = [_local(f) for f in self.spark.read.schema(table.schema).parquet(path).inputFiles()]
+                    left += [path] if own.isdisjoint(files) else [f for f in files if f not in own]
                 folder = self.store.new_folder(table.name)
-                df.filter(~hit).write.parquet(folder)
-                txn.put(replace(table, folders=(folder,)))
-            return n
+                self.spark.read.schema(table.schema).parquet(*sorted(own)).filter(~hit).write.parquet(folder)
+                txn.put(replace(table, folders=(*left, folder)))
+            return sum(touched.values())
 
         return self._in_txn(work)
 
+    def stats(self, name: str) -> dict[str, int]:
+        """Rows and files of a table."""
+        df = self.table(name)
+        return {"rows": df.count(), "files": len(df.inputFiles())}
+
     def load(self, name: str, path: str, sep: str = ",", header: bool = True, skip_last: bool = False) -> int:
         """Append a delimited file to a table in one batch."""
         return self._in_txn(lambda txn: self._append(txn, name, read_delimited(self.spark, path, txn.read(name).schema, sep, header, skip_last)))
@@ -247,8 +271,11 @@ class Connection:
         return Result(QueryType.CREATE_TABLE, text=name)
 
     def explain(self, text: str, mode: str = "formatted") -> str:
-        """The plan of a SELECT, or of the rows that an INSERT or DELETE handles."""
+        """The plan of a SELECT, or of the rows that an INSERT or DELETE handles; EXPLAIN COST shows sizes and cardinalities."""
         ts = frontend.tokens(text)
+        if ts and ts[0].word in ("cost", "formatted", "extended"):
+            mode, text = ts[0].word, text[ts[1].at :] if len(ts) > 1 else ""
+            ts = frontend.tokens(text)
         if ts and ts[0].word == "insert":
             text = text[ts[3].at :]
         elif ts and ts[0].word == "delete":

@@ -1,11 +1,14 @@
-"""The scalar function library, as Column builders and as temporary SQL functions.
+"""The scalar function library: temporary SQL functions, and Column builders that call them.
 
-All of it is built-in expressions, so filters on these functions stay inside code generation.
+Each is defined once, in built-in expressions that the analyzer puts in the place of the call, so filters on
+them stay inside code generation.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -46,73 +49,13 @@ SQL_FUNCTIONS = ("sq", "imin", "imax", "getsubstr", "datestringtoepoch", "dateti
 
 
 
-
-def add(a: Column, b: Column) -> Column:
-    return a + b
-
-
-def sub(a: Column, b: Column) -> Column:
-    return a - b
-
-
-def mul(a: Column, b: Column) -> Column:
-    return a * b
-
-
 def intdiv(a: Column, b: Column) -> Column:
     """Division that truncates toward zero; a zero divisor raises."""
     return F.call_function("div", a, b)
 
 
-def mod(a: Column, b: Column) -> Column:
-    """The remainder has the dividend's sign."""
-    return a % b
-
-
-def sq(a: Column) -> Column:
-    return a * a
-
-
-def imin(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
-def imax(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
-def getsubstr(s: Column, a: Column, n: Column) -> Column:
-    inside = (a >= 0) & (a <= F.length(s))
-    return F.when(inside, F.substr(s, (a + 1).cast("int"), n.cast("int"))).when(a.isNotNull() & s.isNotNull(), F.lit(""))
-
-
-def datestringtoepoch(s: Column) -> Column:
-    day = F.unix_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date"))
-    return F.coalesce(day.cast("bigint") * F.lit(86400).cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def datetimestringtoepoch(s: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.trim(s), "^[A-Za-z]{3} +", ""), " +", " ")
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(bare, F.lit("MMM d HH:mm:ss z yyyy"))), F.lit(0).cast("bigint"))
-
-
-def epochtodatetimestring(e: Column) -> Column:
-    ts = F.timestamp_seconds(e)
-    return F.concat(F.date_format(ts, "EEE MMM "), F.lpad(F.date_format(ts, "d"), 2, " "), F.date_format(ts, " HH:mm:ss z yyyy"))
-
-
-def epoch() -> Column:
-    return F.unix_timestamp()
-
-
-def irand() -> Column:
-    return F.floor(F.rand() * F.lit(9.2e18)).cast("bigint")
-
-
-FUNCTIONS: dict[str, Callable[..., Column]] = {
-    f.__name__: f
-    for f in (add, sub, mul, intdiv, mod, sq, imin, imax, getsubstr, datestringtoepoch, datetimestringtoepoch, epochtodatetimestring, epoch, irand)
-}
+#: Column builders: operators, and calls of the SQL functions, which ``register`` must have made known to the session.
+FUNCTIONS: dict[str, Callable[..., Column]] = {"add": operator.add, "sub": operator.sub, "mul": operator.mul, "intdiv": intdiv, "mod": operator.mod} | {n: partial(F.call_function, n) for n in SQL_FUNCTIONS}
 
 
 def int_avg(x: Column) -> Column:

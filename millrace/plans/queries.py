@@ -6,6 +6,7 @@ so that sums don't depend on the order of addition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -359,8 +360,12 @@ def q_values(s, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; below a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder below the cluster's shared one; below a temporary one where one machine runs all."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
@@ -415,6 +420,57 @@ def q_csv_load(s, d):
     return read_delimited(s, path, schema, sep="|", header=True)
 
 
+# ---- the SQL front end: statements as a user types them, over two small-column tables t and t2
+
+_T = "WITH t AS (SELECT c_mktsegment || '-' || CAST(c_custkey % 40 AS VARCHAR) AS name, CAST(c_custkey * 7 % 90 AS BIGINT) AS age FROM customer), t2 AS (SELECT (['BUILDING', 'MACHINERY', 'FURNITURE'])[CAST(s_suppkey % 3 + 1 AS INT)] || '-' || CAST(s_suppkey % 40 AS VARCHAR) AS name, CAST(s_suppkey * 7 % 90 AS BIGINT) AS age FROM supplier) "
+
+
+def _people(s: SparkSession, d: str):
+    con = Engine(s, _shared(s).removeprefix("file://")).connect()
+    for name in ("t", "t2"):
+        con.sql(f"create table {name} (name string, age int)")
+    con.insert("t", read_table(s, d, "customer").selectExpr("concat(c_mktsegment, '-', c_custkey % 40) as name", "c_custkey * 7 % 90 as age"))
+    con.insert("t2", read_table(s, d, "supplier").selectExpr("concat(element_at(array('BUILDING', 'MACHINERY', 'FURNITURE'), cast(s_suppkey % 3 + 1 as int)), '-', s_suppkey % 40) as name", "s_suppkey * 7 % 90 as age"))
+    return con
+
+
+#: name -> (statement, SQL that gives the same rows, names for columns where the statement gives one name twice)
+SQL = {
+    "having_alias": ("select sum(age) as s from t group by t.name having s > 30", "SELECT CAST(sum(age) AS BIGINT) AS s FROM t GROUP BY name HAVING sum(age) > 30", None),
+    "agg_of_expr": ("select sum(age + 10) , sum(age) from t", "SELECT CAST(sum(age + 10) AS BIGINT) AS a, CAST(sum(age) AS BIGINT) AS b FROM t", ("a", "b")),
+    "expr_of_agg": ("select min(age) + max(age) from t", 'SELECT min(age) + max(age) AS "+" FROM t', None),
+    "limit_expr": ("select * from t order by t.age, t.name limit 1+2", "SELECT * FROM t ORDER BY age, name LIMIT 3", None),
+    "join_comma": ("select t.name, t.age from t join t2 on t.name = t2.name, t2 as t3 where t.age < 50 and t3.age = t.age order by t.age asc, t.name asc", "SELECT t.name, t.age FROM t JOIN t2 ON t.name = t2.name JOIN t2 AS t3 ON t3.age = t.age WHERE t.age < 50", None),
+    "nested_call": ("select sq(sq(5)) from t", "SELECT CAST(625 AS BIGINT) AS sq FROM t", None),
+    "constant": ("select 1, name from t", 'SELECT 1 AS "1", name FROM t', None),
+    "reorder": ("select age, name from t", "SELECT age, name FROM t", None),
+    "bare_alias": ("select t.name, sum(age) totage from t group by t.name", "SELECT name, CAST(sum(age) AS BIGINT) AS totage FROM t GROUP BY name", None),
+    "join_on": ("select t.name, t.age from t join t2 on t.name = t2.name where t.age < 50", "SELECT t.name, t.age FROM t JOIN t2 ON t.name = t2.name WHERE t.age < 50", None),
+    "derived": ("select name from (select x.name from (select t.name from t) x)y order by name asc", "SELECT name FROM t", None),
+    "count_star": ("select age, count(*) from t group by age", 'SELECT age, count(*) AS "count(*)" FROM t GROUP BY age', None),
+    "integer": ("select name, avg(age), max(age) / 7, -7 / 2 as h from t group by name", 'SELECT name, CAST(sum(age) // count(*) AS BIGINT) AS "avg(age)", max(age) // 7 AS "/", -3 AS h FROM t GROUP BY name', None),
+    "avg_nested": ("select avg(age / 2 + 1) / 2 as v, rand() >= 0 as r from t where epoch() > 0", "SELECT CAST(sum(age // 2 + 1) // count(*) // 2 AS BIGINT) AS v, true AS r FROM t", None),
+    "functions": ("select name, getsubstr(name, 1, 3) as a, imin(age, 5) as b, imax(age, 5) as c, mod(age, 7) as d, datestringtoepoch('2024-01-15') as e, epochtodatetimestring(0) as f, datetimestringtoepoch('Mon Jan  2 21:04:05 UTC 2006') as g from t where sq(age) > 100", "SELECT name, substr(name, 2, 3) AS a, least(age, 5) AS b, greatest(age, 5) AS c, age % 7 AS d, CAST(1705276800 AS BIGINT) AS e, 'Thu Jan  1 00:00:00 UTC 1970' AS f, CAST(1136235845 AS BIGINT) AS g FROM t WHERE age * age > 100", None),
+    "on_conditions": ("select t.name, t2.age from t join t2 on t.name = t2.name and t.age = t2.age and t.age > 5", "SELECT t.name, t2.age FROM t JOIN t2 ON t.name = t2.name AND t.age = t2.age AND t.age > 5", None),
+    "predicates": ("select name, age from t where (age between 10 and 20 or name in ('BUILDING-1', 'MACHINERY-2')) and not age = 14 and name is not null and age <> 15 and name like '%_-%'", "SELECT name, age FROM t WHERE (age BETWEEN 10 AND 20 OR name IN ('BUILDING-1', 'MACHINERY-2')) AND NOT age = 14 AND age <> 15", None),
+    "subqueries": ("select name, age from t where age > (select avg(age) from t2) and name in (select name from t2 where age < 40)", "SELECT name, age FROM t WHERE age > (SELECT CAST(sum(age) // count(*) AS BIGINT) FROM t2) AND name IN (SELECT name FROM t2 WHERE age < 40)", None),
+    "spelling": ("select /*+ broadcast(t2) */ t.name, age==5 as a, cast(t.age*.5 as decimal(10,1)) as b, cast(t.age as string) as c from t join (select name from t2) t2 on t.name = t2.name where t.age > 5L -- a / b", "SELECT t.name, age = 5 AS a, CAST(t.age * 0.5 AS DECIMAL(10,1)) AS b, CAST(t.age AS VARCHAR) AS c FROM t JOIN (SELECT name FROM t2) t2 ON t.name = t2.name WHERE t.age > 5", None),
+    "distinct_offset": ("select distinct age from t order by age limit 5 offset 3", "SELECT DISTINCT age FROM t ORDER BY age LIMIT 5 OFFSET 3", None),
+}
+
+
+def _statement(sql: str, names: tuple[str, ...] | None) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = _people(s, d).sql(sql).df
+        return df.toDF(*names) if names else df
+
+    return run
+
+
+for _name, (_sql, _oracle, _names) in SQL.items():
+    _REG[f"sql_{_name}"] = (_statement(_sql, _names), _T + _oracle)
+
+
 @query("SELECT n_name, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS revenue, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P' GROUP BY n_name HAVING count(*) > 3 ORDER BY revenue DESC, n_name LIMIT 20")
 def q_flagship(s, d):
     """Revenue by nation: filter, two joins, group, having, sort, limit."""
@@ -428,8 +484,16 @@ def q_flagship(s, d):
 flagship = q_flagship
 
 
+def _with_functions(f: Query) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        fn.register(s)
+        return f(s, d)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _REG.items()}
+    return {k: _with_functions(f) for k, (f, _) in _REG.items()}
 
 
 def oracle_sql() -> dict[str, str]:

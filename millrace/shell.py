@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from collections.abc import Callable, Iterable
@@ -14,7 +15,7 @@ from millrace.functions import list_functions
 from millrace.session import get_session
 
 HELP = r"""\h  \?              this text
-\c path             read a catalog file and create its tables
+\c path             change to the database of a catalog file (its tables are created the first time)
 \d                  tables
 \f                  functions
 \a                  aligned or comma-separated results
@@ -25,6 +26,8 @@ explain statement;  show the plan
 \q                  leave
 """
 WIDTH = 120
+#: Marks the jobs of the shell's statements.
+TAG = "millrace-shell"
 
 
 def render(df: DataFrame, aligned: bool) -> Iterable[str]:
@@ -59,7 +62,7 @@ class Shell:
             if name in (r"\h", r"\?"):
                 self.out(HELP)
             elif name == r"\c":
-                self.con.engine.load_catalog(args[0])
+                self.use(args[0])
             elif name == r"\d":
                 self.out(str(self.con.engine.catalog))
             elif name == r"\f":
@@ -84,8 +87,18 @@ class Shell:
             self.out(f"error: {e or 'an argument is missing'}")
         return True
 
+    def use(self, path: str) -> None:
+        """Each catalog file has a store of its own beside it."""
+        engine = Engine(self.con.engine.spark, f"{os.path.splitext(os.path.abspath(path))[0]}.store")
+        if not len(engine.catalog):
+            engine.load_catalog(path)
+        if self.con.txn:
+            self.con.rollback()
+        self.con = engine.connect()
+
     def run(self, text: str) -> None:
         began = time.time()
+        self.con.spark.addTag(TAG)
         try:
             r = self.con.sql(text)
             if r.df is not None:
@@ -99,7 +112,7 @@ class Shell:
             if r.kind in (QueryType.CREATE_TABLE, QueryType.DROP_TABLE):
                 self.out(str(self.con.engine.catalog))
         except KeyboardInterrupt:
-            self.con.spark.sparkContext.cancelAllJobs()
+            self.con.spark.interruptTag(TAG)
             if self.con.txn:
                 self.con.rollback()
             self.out("aborted")
