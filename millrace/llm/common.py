@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +20,9 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A run of them, for Java's and DuckDB's patterns.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that goes to Python.
+ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -27,42 +33,62 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def ship(spark: SparkSession) -> None:
     """Send this package's code along with the application, so that workers can import it wherever the
-    driver was started. Spark's own file server carries it."""
+    driver was started. Spark's own file server carries it. Batches of rows for Python are kept small,
+    since a row may hold a whole document, unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH, str(ROWS))
     if getattr(sc, "_millrace_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "millrace_code.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "millrace_code.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
+        for where, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(where, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._millrace_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a temporary one only where one machine runs all of them."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/millrace-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/millrace-shared"
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/millrace/{sc.applicationId}"
+    if getattr(sc, "_millrace_folder", None) != path:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(there)
+        fs.deleteOnExit(there)
+        sc._millrace_folder = path
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read back: later steps don't compute them again,
     and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written. Results that haven't been stored elsewhere can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    """Delete what ``cut`` has written in this application. Results that haven't been stored elsewhere can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
