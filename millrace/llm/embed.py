@@ -9,13 +9,16 @@ Equal vectors are one class with a count, so copies are never paired. Lists are
 bounded size, and a task compares two blocks, so that a crowded list is spread over many tasks; what
 leaves a task is one count a vector and a spanning forest, not the pairs.
 
-The pivots are a bounded sample (PIVOTS_MOST); every row is indexed. Recall against brute force is
-measured in the tests.
+The pivots are a bounded sample, in number (PIVOTS_MOST) and in bytes (PIVOT_BYTES), since every worker
+holds them; every row is indexed. There is one for each PER_PIVOT vectors, so lists stay as long as they
+are until that bound is reached. Over FLAT pivots they form a tree of two levels: a vector looks for its nearest pivots
+below the PROBES branches nearest to it. Recall against brute force is measured in the tests.
 
 Each length of vectors has pivots and lists of its own; a length of few vectors is one list.
 
-Cases: null or zero vectors and null or non-finite components link with nothing; repeated rows are copies; an empty table gives no rows; other
-columns of the input play no part.
+Cases: null or zero vectors and null or non-finite components link with nothing; vectors are scaled by their largest
+component, so that no finite one overflows; of pivots at equal distance the first in their order is named; repeated rows are copies; very long vectors
+have fewer pivots; an empty table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -32,14 +35,16 @@ from millrace.llm.common import cut, ship, table
 from millrace.llm.components import components, forest
 
 COSINE = 0.9
-#: Pivots named by a vector: so many, and one more for every MORE pivots there are.
-NEAREST, MORE = 6, 1024
+#: Pivots named by a vector.
+NEAREST = 8
 #: One pivot per so many vectors, within these bounds.
-PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST = 40, 16, 4096
+PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST, PIVOT_BYTES = 40, 16, 1 << 16, 1 << 25
+#: Pivots over which a tree is built, its branches, and those that a vector looks into.
+FLAT, BRANCHES, PROBES = 4096, 256, 16
 #: Two pivots have a cosine below this.
 PIVOTS_APART = 0.7
-#: Vectors in a block.
-BLOCK = 160
+#: Vectors in a block, and how many of them are compared with a block at once.
+BLOCK, STRIP = 1024, 256
 
 
 def _clean(v: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,53 +54,84 @@ def _clean(v: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndar
     rows = np.flatnonzero(size == dim)
     flat = v.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     x = flat.reshape(-1, dim) if dim else np.zeros((0, 0))
-    norm = np.sqrt((x * x).sum(1)) if dim else np.zeros(0)
-    good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
-    return rows[good], x[good]
+    most = np.abs(x).max(1) if dim else np.zeros(0)
+    good = np.isfinite(most) & (most > 0)
+    return rows[good], x[good] / most[good][:, None]
 
 
 def pivots(classes: DataFrame) -> np.ndarray:
-    """Unit vectors of the pivots: of the classes whose ids have the smallest hashes, those that are far
-    from each other. Pivots inside one crowded group would split it by chance."""
-    n = classes.count()
-    m = min(PIVOTS_MOST, max(PIVOTS_LEAST, n // PER_PIVOT))
-    got = [r[0] for r in classes.filter("v IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("id"), "id").select("v").limit(m).collect()]
-    if not got:
-        return np.zeros((0, 0))
-    lengths = [len(v) for v in got]
-    dim = max(set(lengths), key=lambda d: (lengths.count(d), -d))
-    _, x = _clean(pa.array([v for v in got if len(v) == dim], pa.list_(pa.float64())), dim)
+    """Unit vectors of the pivots: of the classes, all of one length, whose ids have the smallest hashes, those
+    that are far from each other. Pivots inside one crowded group would split it by chance."""
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    m = min(PIVOTS_MOST, max(PIVOTS_LEAST, PIVOT_BYTES // (4 * max(dim, 1))), max(PIVOTS_LEAST, n // PER_PIVOT))
+    got = classes.orderBy(F.xxhash64("id"), "id").select("v").limit(m).toArrow()["v"]
+    _, x = _clean(got, dim)
     x /= np.sqrt((x * x).sum(1))[:, None]
-    apart, free = [], np.ones(len(x), bool)
-    for i in range(len(x)):
-        if free[i]:
-            apart.append(i)
-            free &= x @ x[i] < PIVOTS_APART
-    return x[apart]
+    apart = x[:0]
+    for at in range(0, len(x), 1024):
+        part = x[at : at + 1024]
+        part = part[(part @ apart.T < PIVOTS_APART).all(1)]
+        own, free = [], np.ones(len(part), bool)
+        for i in range(len(part)):
+            if free[i]:
+                own.append(i)
+                free &= part @ part[i] < PIVOTS_APART
+        apart = np.concatenate([apart, part[own]])
+    return apart
+
+
+class Tree:
+    """The nearest of some pivots. Over FLAT of them, the first BRANCHES are branches, and every pivot hangs at the one nearest to it."""
+
+    def __init__(self, p: np.ndarray):
+        self.p, self.k = p.astype(np.float32), min(NEAREST, len(p))
+        self.below: list[np.ndarray] = []
+        if len(p) > FLAT:
+            branch = np.concatenate([(self.p[at : at + 4096] @ self.p[:BRANCHES].T).argmax(1) for at in range(0, len(p), 4096)])
+            order = np.argsort(branch, kind="stable")
+            self.below = np.split(order, np.searchsorted(branch[order], np.arange(1, BRANCHES)))
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the ``k`` nearest pivots of each row, in order; -1 for none."""
+        x = x.astype(np.float32)
+        if not self.below:
+            return self._first(x @ self.p.T, np.broadcast_to(np.arange(len(self.p)), (len(x), len(self.p))))
+        near = np.argpartition(-(x @ self.p[:BRANCHES].T), PROBES - 1, axis=1)[:, :PROBES]
+        sim = np.full((len(x), PROBES * self.k), -np.inf, np.float32)
+        who = np.full(sim.shape, -1)
+        for b in np.unique(near):
+            rows, slot = np.nonzero(near == b)
+            own = self.below[b]
+            if len(own):
+                s = x[rows] @ self.p[own].T
+                k = min(self.k, len(own))
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                at = slot[:, None] * self.k + np.arange(k)
+                sim[rows[:, None], at] = np.take_along_axis(s, top, 1)
+                who[rows[:, None], at] = own[top]
+        return self._first(sim, who)
+
+    def _first(self, sim: np.ndarray, who: np.ndarray) -> np.ndarray:
+        top = np.argpartition(-sim, self.k - 1, axis=1)[:, : self.k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1)
+        return np.take_along_axis(who, top, 1)
 
 
 def index(classes: DataFrame, piv: dict[int, np.ndarray]) -> DataFrame:
     """(id, n, v, near): ``near`` are the nearest pivots of the vector's length in order, or
     the one list of a length without pivots; none for vectors that can't link."""
-    shared = classes.sparkSession.sparkContext.broadcast({dim: p.astype(np.float32) for dim, p in piv.items()})
+    shared = classes.sparkSession.sparkContext.broadcast({dim: Tree(p) for dim, p in piv.items() if len(p)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near: list = [[]] * b.num_rows
             for dim in set(pa.compute.list_value_length(b.column(2)).to_pylist()):
                 rows, x = _clean(b.column(2), dim)
-                p = shared.value.get(dim)
-                if p is None or not len(p):
-                    for r in rows:
-                        near[r] = [0]
-                    continue
-                k = min(NEAREST + len(p) // MORE, len(p))
+                tree = shared.value.get(dim)
                 for at in range(0, len(rows), 1024):
-                    sim = x[at : at + 1024].astype(np.float32) @ p.T
-                    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1)
-                    for r, t in zip(rows[at : at + 1024], top.tolist(), strict=True):
-                        near[r] = t
+                    named = tree.nearest(x[at : at + 1024]).tolist() if tree else [[0]] * len(rows[at : at + 1024])
+                    for r, t in zip(rows[at : at + 1024], named, strict=True):
+                        near[r] = [q for q in t if q >= 0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], ["id", "n", "v", "near"])
 
     return classes.select("id", "n", "v").mapInArrow(run, f"id bigint, n bigint, v {classes.schema['v'].dataType.simpleString()}, near array<int>")
@@ -106,21 +142,29 @@ def _verify(key: tuple, rows: pa.Table) -> pa.Table:
     _, pivot, lo, hi = (k.as_py() for k in key)
     rows = rows.combine_chunks()
     ids, n, side = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
-    near = rows["near"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    v = rows["v"].combine_chunks()
-    x = v.flatten().cast(pa.float64()).to_numpy().reshape(len(ids), -1)
-    norm = np.sqrt((x * x).sum(1))
+    named = rows["near"].to_pylist()
+    near = np.full((len(ids), max(map(len, named))), -1)
+    for i, t in enumerate(named):
+        near[i, : len(t)] = t
+    x = rows["v"].combine_chunks().flatten().cast(pa.float64()).to_numpy().reshape(len(ids), -1)
+    x = x / np.abs(x).max(1)[:, None]
+    x /= np.sqrt((x * x).sum(1))[:, None]
     weight = np.zeros(len(ids), np.int64)
     first, second = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    close = x[first] @ x[second].T / (norm[first][:, None] * norm[second]) >= COSINE
-    i, j = np.nonzero(np.triu(close, 1) if lo == hi else close)
-    i, j = first[i], second[j]
-    a, b = forest(ids[i], ids[j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    # A pair counts here if no smaller pivot is shared.
-    low = np.where((near[i][:, :, None] == near[j][:, None, :]).any(2), near[i], np.iinfo(np.int32).max).min(1)
-    i, j = i[low == pivot], j[low == pivot]
-    np.add.at(weight, i, n[j])
-    np.add.at(weight, j, n[i])
+    links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(first), STRIP):
+        close = x[first[at : at + STRIP]] @ x[second].T >= COSINE
+        i, j = np.nonzero(np.triu(close, at + 1) if lo == hi else close)
+        i, j = first[at + i], second[j]
+        if len(i):
+            links.append(forest(ids[i], ids[j]))
+        # A pair counts here if no smaller pivot is shared.
+        low = np.where((near[i][:, :, None] == near[j][:, None, :]).any(2) & (near[i] >= 0), near[i], np.iinfo(np.int32).max).min(1)
+        i, j = i[low == pivot], j[low == pivot]
+        np.add.at(weight, i, n[j])
+        np.add.at(weight, j, n[i])
+    a, b = map(np.concatenate, zip(*links, strict=True))
+    a, b = forest(a, b) if len(links) > 2 else (a, b)
     hit = np.flatnonzero(weight)
     return pa.table({"a": pa.array(np.concatenate([a, ids[hit]]), pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(hit)], pa.int64()), "w": pa.array([*[0] * len(a), *weight[hit].tolist()], pa.int64())})
 

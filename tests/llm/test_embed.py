@@ -61,32 +61,64 @@ def test_empty(spark):
     assert got(embed.near_duplicates(df)) == {1: (0, 1, True), 2: (0, 2, True)}
 
 
-def test_recall_on_whole_table(spark):
-    want = brute({r.vec_id: r.embedding for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()})
-    have = got(embed.op2_embedding_dedup(spark, DATA))
-    assert have.keys() == want.keys()
+def unit(v):
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def alike(spark, rng, n):
+    """Vectors from a mixture fitted to the test table's."""
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    known = [unit(np.stack(g.to_numpy()).astype(float)) for _, g in t.groupby("label")["embedding"]]
+    return unit(rng.permutation(np.concatenate([rng.multivariate_normal(g.mean(0), np.cov(g.T), n // len(known) + 1) for g in known]))[:n])
+
+
+def planted(rng, base):
+    """A vector for each at a cosine of 0.90 to 0.95."""
+    off = rng.normal(size=base.shape)
+    c = rng.uniform(0.9001, 0.95, (len(base), 1))
+    return c * base + np.sqrt(1 - c * c) * unit(off - (off * base).sum(1)[:, None] * base)
+
+
+def recall(spark, rows, least):
+    want = brute(rows)
+    have = got(embed.near_duplicates(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")))
+    assert have.keys() == want.keys() and all(have[i][0] <= want[i][0] for i in want)
     total = sum(w[0] for w in want.values())
-    assert sum(h[0] for h in have.values()) >= 0.99 * total and all(have[i][0] <= want[i][0] for i in want)
+    assert total >= least and sum(h[0] for h in have.values()) >= 0.97 * total
 
 
-def test_recall_at_most_pivots(spark, monkeypatch):
-    """Pairs planted at cosine 0.90 to 0.95 among as many pivots as a large table has."""
+def test_recall_of_links_planted_among_the_whole_table(spark):
+    """The test tables have no link of their own: half of each vector's kin is planted near the bound."""
+    rng = np.random.default_rng(3)
+    own = np.stack([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]).astype(float)
+    base = np.concatenate([unit(own), alike(spark, rng, 2000)])
+    recall(spark, dict(enumerate(np.concatenate([base, planted(rng, base[:1500]), planted(rng, base[:1000])]).tolist())), 4000)
+
+
+@pytest.mark.parametrize("count", [4096, 20_000])
+def test_recall_at_many_pivots(spark, monkeypatch, count):
+    """Pairs planted at cosine 0.90 to 0.95 among as many pivots as a large table has, flat and as a tree."""
     rng = np.random.default_rng(8)
-    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
-    known = [np.stack(g.to_numpy()).astype(float) for _, g in t.groupby("label")["embedding"]]
-    known = [g / np.sqrt((g * g).sum(1))[:, None] for g in known]
-    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
-    draw = lambda n: unit(rng.permutation(np.concatenate([rng.multivariate_normal(g.mean(0), np.cov(g.T), n // len(known) + 1) for g in known]))[:n])
-    piv, base, off = draw(embed.PIVOTS_MOST), draw(1000), rng.normal(size=(1000, known[0].shape[1]))
-    c = rng.uniform(0.9001, 0.95, (1000, 1))
-    near = c * base + np.sqrt(1 - c * c) * unit(off - (off * base).sum(1)[:, None] * base)
-    rows = dict(enumerate(np.concatenate([base, near]).tolist()))
+    piv, base = alike(spark, rng, count), alike(spark, rng, 1000)
     monkeypatch.setattr(embed, "pivots", lambda classes: piv)
+    recall(spark, dict(enumerate(np.concatenate([base, planted(rng, base)]).tolist())), 2000)
+
+
+def test_comparisons_a_vector_stay_level(spark):
+    """Vectors in lists times their length, over the number of vectors, at one pivot for each PER_PIVOT of them."""
+    rng = np.random.default_rng(5)
+    per = []
+    for n in (20_000, 200_000):
+        tree, x = embed.Tree(alike(spark, rng, n // embed.PER_PIVOT)), alike(spark, rng, n)
+        sizes = np.bincount(np.concatenate([tree.nearest(x[at : at + 4096]).ravel() for at in range(0, n, 4096)]))
+        per.append((sizes.astype(float) ** 2).sum() / n)
+    assert per[1] < 1.5 * per[0]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = {0: [1e308, 1e308], 1: [1.0, 1.01], 2: [1e-300, 1e-300], 3: [-1e308, 1e308], 4: [float("inf"), 1.0]}
     have = got(embed.near_duplicates(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")))
-    want = brute(rows)
-    total = sum(w[0] for w in want.values())
-    assert total >= 2000 and all(have[i][0] <= want[i][0] for i in want)
-    assert sum(h[0] for h in have.values()) >= 0.99 * total
+    assert have == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 3: (0, 3, True), 4: (0, 4, True)}
 
 
 def test_lengths_are_indexed_apart(spark):
