@@ -4,9 +4,13 @@ A stable 64-bit key of the id walks the buckets it would have lived in as shards
 last stop below the shard count is its shard. Nothing but the id and the count decides, and with one
 shard more only rows that move into the new shard change place.
 
-Cases: a null text has size 1 and CRC 0; a null id counts as the empty text and shares one key;
-repeated rows have the same shard and slots of their own; an empty table gives no rows; other
-columns of the input play no part.
+Slots follow the order of (id, CRC, size). Rows are dealt to runs by range in that order, so that runs are
+alike in size whether ids are dense, hashes, or one id repeated with many texts.
+
+Cases: a null text has size 1 and CRC 0; a null id counts as the empty text, shares one key and comes
+first; ids may be of any type that sorts; repeated rows have the same shard and slots of their own, which
+of them has which is left open, and stay in one run; very long texts cost their bytes once, for the CRC; an empty
+table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -15,12 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import cut, table
 
 _MULTIPLIER = "2862933555777941757"  # fixed: the generator of jump consistent hashing
 _WORD = "18446744073709551616"
-#: Ids that share one run of slots; keeps the slot windows short.
-RUN = 1024
 
 
 def stable_key(key: Column) -> Column:
@@ -50,19 +52,29 @@ def jump(key: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n + 1)), state, step, lambda s: F.struct(s["b"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown_shard")))
 
 
-def shard(df: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def deal(rows: DataFrame, runs: int) -> DataFrame:
+    """Rows with the number of their ``run``, a range in the order of (id, CRC, size).
+
+    Both cuts hold a few bytes a row: the range's limits come from a sample of the first, and the second fixes the runs."""
+    return cut(cut(rows).repartitionByRange(runs, "id", "text_crc32", "size").withColumn("run", F.spark_partition_id()))
+
+
+def shard(df: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Slots count from 0 without gaps in each shard, by id. They are numbered in two levels, so that no
-    task holds a whole shard: within a run of ids, and by a prefix sum over the runs' counts.
+    task holds a whole shard: within a run, and by a prefix sum over the runs' counts. There are ``runs``
+    runs, the session's shuffle partitions unless given.
     """
+    runs = runs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
     rows = df.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("bigint")).alias("text_crc32"),
         jump(stable_key(F.col(id_col)), n).alias("to"),
-    ).select("id", "size", "text_crc32", "to.*", F.coalesce(F.floor(F.col("id") / run).cast("bigint"), F.lit(-(1 << 62))).alias("run"))
+    ).select("id", "size", "text_crc32", "to.*")
+    rows = deal(rows, runs)
     counts = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
