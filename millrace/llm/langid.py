@@ -5,8 +5,9 @@ n-gram's slots gives every language that contains it. A text's votes are counted
 corrected for that language's false-positive rate; the largest share decides.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is everything where no
-labelled row can be learned from; equal shares go to the first language in code-point order; repeated
-rows are judged alike; an empty table gives no rows; other columns play no part in a prediction.
+labelled row can be learned from; equal shares go to the first language in code-point order; very long
+texts are read in chunks that lose no n-gram, but aren't learned from where a language has shorter ones;
+repeated rows are judged alike; an empty table gives no rows; other columns play no part in a prediction.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import returns, ship, table
 
 ORDERS = (3, 4)
 #: Documents a language that are learned from (expected number; the ids' hashes decide which).
 SAMPLE = 1500
+#: Code points of a document that is learned from. A language with longer documents only learns from these.
+LONGEST = 1 << 17
 #: An n-gram belongs to a language if it was seen this often there, and at least this share as often as
 #: in the language that uses it most (foreign lines in a text don't count).
 LEAST, SHARE = 3, 0.05
@@ -42,18 +45,26 @@ def _letters() -> np.ndarray:
 
 def ngrams(text: str) -> Iterator[np.ndarray]:
     """Hashes of the n-grams of each order, chunk by chunk: lower case, runs of other characters as one space."""
+    text = text.lower()
+    # The end of what has been read: a blank at first, later enough for the n-grams that reach into the next chunk.
+    held = np.full(1, 32, np.uint64)
     for at in range(0, len(text), CHUNK):
-        part = text[at : at + CHUNK].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(_letters()[codes], codes, 32).astype(np.uint64)
-        codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]])
+        if at + CHUNK >= len(text):
+            codes = np.concatenate([codes, [np.uint64(32)]])
         blank = codes == 32
-        codes = codes[~(blank & np.concatenate([[False], blank[:-1]]))]
+        new = codes[~(blank & np.concatenate([[held[-1] == 32], blank[:-1]]))]
+        codes = np.concatenate([held, new])
+        old, held = len(held), codes[-(max(ORDERS) - 1) :]
         for n in ORDERS:
-            if len(codes) >= n:
-                h = np.full(len(codes) - n + 1, n, np.uint64)
+            # Those that end in the new part.
+            first = max(0, old - n + 1)
+            if len(codes) - first >= n and len(new):
+                own = codes[first:]
+                h = np.full(len(own) - n + 1, n, np.uint64)
                 for k in range(n):
-                    h += codes[k : len(codes) - n + 1 + k] * _MIX[k]
+                    h += own[k : len(own) - n + 1 + k] * _MIX[k]
                 h ^= h >> np.uint64(29)
                 h *= np.uint64(0xBF58476D1CE4E5B9)
                 yield h ^ (h >> np.uint64(32))
@@ -116,13 +127,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filter:
-    """Learn from about ``sample`` documents a language: an n-gram table of bounded size comes to the driver."""
+    """Learn from about ``sample`` documents a language, of LONGEST code points at most: an n-gram table of bounded size comes to the driver."""
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    short = F.length("text") <= LONGEST
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()
+    if not found:
         return Filter([])
+    sizes = {r["lang"]: r["short"] or r["n"] for r in found}
+    if alone := [r["lang"] for r in found if not r["short"]]:
+        short |= F.col("lang").isin(alone)
+    rows = rows.filter(short)
     # A document is drawn if its id's hash, as a share of all hashes, lies below the language's rate.
     draw = (F.xxhash64(F.lit("langid"), F.col("id")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
     rate = F.lit(1.0)
@@ -153,19 +169,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def predict(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred and score of every row. The filter, of fixed size, is broadcast."""
+    """id, lang_pred and score of every row. The filter, of fixed size, is broadcast. The text may be a field of
+    the id, ``id.field``, so that it isn't sent twice."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[id_col].dataType.simpleString()
+
+    inside = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         fp = m.false_positives()
         for b in batches:
-            got = [m.predict(x.as_py(), fp) for x in b.column(1)]
+            got = [m.predict(x.as_py(), fp) for x in (b.column(0).field(inside) if inside else b.column(1))]
             yield pa.RecordBatch.from_pydict({id_col: b.column(0), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return df.select(id_col, *([] if inside else [text_col])).mapInArrow(run, returns(df, [id_col], "lang_pred string, score double"))
 
 
 def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
