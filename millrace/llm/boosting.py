@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,6 +62,15 @@ class Boosted:
         self.trees.append((feature, limit, value))
         return value[leaf]
 
+    def to_json(self) -> str:
+        return json.dumps({"depth": self.depth, "base": self.base, "edges": [e.tolist() for e in self.edges], "trees": [[a.tolist() for a in t] for t in self.trees]})
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        d = json.loads(text)
+        kinds = (np.int64, np.int64, np.float64)
+        return cls(depth=d["depth"], base=d["base"], edges=[np.array(e, float) for e in d["edges"]], trees=[tuple(np.array(a, k) for a, k in zip(t, kinds, strict=True)) for t in d["trees"]])
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         b = self.binned(x)
         f, rows = np.full(len(x), self.base), np.arange(len(x))

@@ -8,15 +8,21 @@ dropped is dropped whole, so an ancestor and a descendant never contradict each
 The model is trained on pages that ``training_pages`` writes by rule, where the main text is known; their
 number is a documented bound (TRAINING). No page of the input is used for training.
 
-Cases: a null or empty page has no text; a page that ends early is closed at its end; an unknown tag is
-an inline one; repeated rows give equal rows; an empty table gives no rows; other columns play no part.
+Cases: a null or empty page has no text; a page that ends early is closed at its end, and what follows an
+unfinished tag is part of that tag; an unknown tag is an inline one; an element as likely main text as not is
+dropped; very long pages take time in proportion to their length, however they are nested; repeated rows give
+equal rows; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import inspect
 import random
 import re
+import sys
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.boosting import Boosted
-from millrace.llm.common import ship, table
+from millrace.llm.common import returns, shared_dir, ship, table
 
 #: Pages that the model is trained on.
 TRAINING = 1600
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What begins markup: a comment, a declaration or the like, a tag with its name.
+_OPEN = re.compile(r"<(?:!--|[!?]|/(?![a-zA-Z>])|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTED = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 #: Fixed values of HTML: elements without content, elements whose content is no markup, elements that start a block.
@@ -80,6 +88,11 @@ def _words_of(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
 class Page:
     """Block elements of a page in order, and its pieces of text with the element they stand in."""
 
@@ -90,71 +103,101 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
+        """One pass. What is open is kept by name, so that no tag looks through the whole stack for another."""
         # The stack has (tag, block element); inline elements share the block of what is around them.
         stack: list[tuple[str, int]] = [("#", 0)]
-        links, at, size = 0, 0, len(source)
+        #: Places on the stack: of each name, of block elements, of those that end the search for an open list item.
+        opened: dict[str, list[int]] = {}
+        blocks, hard = [0], [0]
+        at, size = 0, len(source)
         add = self.pieces.append
+
+        def push(name: str, element: int) -> None:
+            opened.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
+                if name not in ("p", "div", "address"):
+                    hard.append(len(stack))
+            stack.append((name, element))
+
+        def pop_to(k: int) -> None:
+            while len(stack) > k:
+                opened[stack.pop()[0]].pop()
+            for places in (blocks, hard):
+                while places[-1] >= k:
+                    places.pop()
+
+        def last(names) -> int:
+            return max([opened[t][-1] for t in names if opened.get(t)], default=0)
+
+        def in_link() -> bool:
+            return bool(opened.get("a"))
+
         while at < size:
-            m = _TOKEN.search(source, at)
+            m = _OPEN.search(source, at)
+            add((stack[-1][1], source[at : m.start() if m else size], in_link()))
             if m is None:
-                add((stack[-1][1], source[at:], links > 0))
                 break
-            if m.start() > at:
-                add((stack[-1][1], source[at : m.start()], links > 0))
-            at = m.end()
             name = m[2]
             if name is None:
+                end = source.find("-->", m.end()) + 3 if m[0] == "<!--" else source.find(">", m.end()) + 1
+                at = end if end > 3 or (end and m[0] != "<!--") else size
                 continue
-            name = name.lower()
+            name, at = name.lower(), self._tag_end(source, m.end())
+            if not at:
+                break  # the page ends inside a tag
+            attributes = source[m.end() : at - 1]
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        if stack[k][1] != stack[k - 1][1] or name in BLOCK:
-                            add((stack[k - 1][1], None, False))
-                        del stack[k:]
-                        break
-                    if name not in BLOCK and stack[k][0] in BLOCK and name != "a":
-                        break
+                k = last((name,))
+                # An inline element isn't closed from inside a block within it; a link is.
+                if k and (name in BLOCK or name == "a" or k > blocks[-1]):
+                    if stack[k][1] != stack[k - 1][1] or name in BLOCK:
+                        add((stack[k - 1][1], None, False))
+                    pop_to(k)
                 continue
             if name in BLOCK:
                 if name in _CLOSES:
                     ends, stop = _CLOSES[name]
-                    low = None
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in stop:
-                            break
-                        if stack[k][0] in ends:
-                            low = k
-                            if stack[k][0] != "p":
-                                break
-                        elif name in ("li", "dt", "dd") and stack[k][0] in BLOCK and stack[k][0] not in ("p", "div", "address"):
-                            break
-                    if low is not None:
-                        links -= sum(t == "a" for t, _ in stack[low:])
-                        del stack[low:]
+                    bound = last(stop)
+                    if name in ("li", "dt", "dd") and stack[hard[-1]][0] not in ends:
+                        bound = max(bound, hard[-1])
+                    low = last(ends - {"p"})
+                    if low <= bound:
+                        low = last(("p",)) if "p" in ends else 0
+                    if low > bound:
+                        pop_to(low)
                 up = stack[-1][1]
                 add((up, None, False))
                 if name in VOID:
                     continue
                 self.tag.append(name)
                 self.parent.append(up)
-                self.groups.append(_words_of(m[3]) if m[3] else ())
+                self.groups.append(_words_of(attributes) if attributes else ())
                 self.tags_in.append(0)
-                stack.append((name, len(self.tag) - 1))
+                push(name, len(self.tag) - 1)
                 continue
             self.tags_in[stack[-1][1]] += 1
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size
+                end = _raw_end(name).search(source, at)
+                at = (self._tag_end(source, end.end()) if end else 0) or size
                 continue
             if name in VOID:
                 if name == "br":
                     add((stack[-1][1], " ", False))
                 continue
-            if not m[3].rstrip().endswith("/"):
-                stack.append((name, stack[-1][1]))
-                links += name == "a"
+            if not attributes.rstrip().endswith("/"):
+                push(name, stack[-1][1])
+
+    @staticmethod
+    def _tag_end(source: str, at: int) -> int:
+        """The place after the > that ends a tag, outside of quotes; 0 if there is none."""
+        while m := _QUOTED.search(source, at):
+            if m[0] == ">":
+                return m.end()
+            at = source.find(m[0], m.end()) + 1
+            if not at:
+                break
+        return 0
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -348,6 +391,32 @@ def model(n: int = TRAINING) -> Boosted:
     return Boosted(depth=4, rounds=60).fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
+def fitted(spark: SparkSession, n: int = TRAINING) -> Boosted:
+    """The model, trained once for this version of the code and kept in the shared folder. A file that can't be read is made anew."""
+    version = hashlib.sha256("".join([str(n), *(inspect.getsource(m) for m in (sys.modules[__name__], sys.modules[Boosted.__module__]))]).encode()).hexdigest()[:16]
+    name = f"{shared_dir(spark)}/millrace-models/html-{version}.json"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return Boosted.from_json(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except (ValueError, KeyError, TypeError):
+            pass
+        finally:
+            stream.close()
+    made = model(n)
+    part = jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(made.to_json().encode()))
+    out.close()
+    fs.delete(path, False)
+    if not fs.rename(part, path):  # another application was faster
+        fs.delete(part, False)
+    return made
+
+
 def extract_all(sources: list[str | None], trees: Boosted) -> list[str]:
     """Main texts of pages; nodes of all of them are scored at once."""
     pages = [Page(s or "") for s in sources]
@@ -363,8 +432,7 @@ def extract_all(sources: list[str | None], trees: Boosted) -> list[str]:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training: int = TRAINING) -> DataFrame:
     """id, url, text and n_chars of every page."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model(training))
-    kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]
+    shared = df.sparkSession.sparkContext.broadcast(fitted(df.sparkSession, training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,7 +441,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 texts = extract_all(part.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return df.select(id_col, url_col, html_col).mapInArrow(run, f"{id_col} {kinds[0]}, {url_col} {kinds[1]}, text string, n_chars bigint")
+    return df.select(id_col, url_col, html_col).mapInArrow(run, returns(df, [id_col, url_col], "text string, n_chars bigint"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

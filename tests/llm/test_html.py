@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -72,3 +73,51 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "u", "<article><p>" + "long text, more. " * 100_000, 5)], "page_id long, url string, html string, n_chars int")
     assert sorted(r.n_chars for r in H.extract(df).collect()) == [0, 0, 1_699_999]
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<b>" * n + "</i>" * n, lambda n: "<a '" * n, lambda n: "<div>" * n, lambda n: "<ul><li><div>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+    lambda n: '<p>x</p><a "' * n, lambda n: "<script></script" * n, lambda n: "<!" * n, lambda n: "<p><a href=x>" * n, lambda n: "<table><td>" * n,
+])
+def test_reading_takes_time_in_proportion(make):
+    took = []
+    for mb in (1, 2, 4):
+        source = make(mb * 1_000_000 // len(make(1)))
+        began = time.process_time()
+        H.Page(source).features()
+        took.append(time.process_time() - began)
+    assert took[2] < 6 * took[0] + 1.5
+
+
+WORDS = "The river rose slowly over three days, and the town watched it without much alarm. Nobody had seen water on the market square before."
+MORE = "By the fourth morning, the lower streets were closed, and boats carried bread, milk and letters to the houses along the quay."
+PAGES = [
+    # No article element: nested div elements only.
+    (f"<html><head><title>t</title></head><body><div id='top-nav'><a href=/>Home</a> <a href=/n>News</a></div><div class='page'><div class='content'><h1>Flood</h1><div>{WORDS}</div><div>{MORE}</div></div></div><div class='footer'>&copy; Town paper</div></body></html>",
+     f"Flood\n{WORDS}\n{MORE}"),
+    # A table within the text.
+    (f"<body><nav><ul><li><a href=/>Home</a></ul></nav><main><h1>Levels</h1><p>{WORDS}<table><tr><th>Day<th>Level<tr><td>One<td>3 m<tr><td>Two<td>4 m</table><p>{MORE}</main><footer>Imprint and contact</footer></body>",
+     f"Levels\n{WORDS}\nDay\nLevel\nOne\n3 m\nTwo\n4 m\n{MORE}"),
+    # Comments of readers, nested, below the article.
+    (f"<body><header><a href=/>Paper</a></header><article><h1>Flood</h1><p>{WORDS}</p><p>{MORE}</p></article><section id='comments'><h3>Comments</h3><div class='comment'><p>So sad to read this.</p><div class='reply'><p>I was there, it was worse.</p></div></div></section></body>",
+     f"Flood\n{WORDS}\n{MORE}"),
+    # A sidebar before the text, an advert within it, a cookie notice, scripts.
+    (f"<body><div class='cookie-consent'>We use cookies. <button>Fine</button></div><aside class='sidebar'><h2>Popular</h2><ul><li><a href=/1>One thing</a><li><a href=/2>Another</a></ul></aside><article class='post'><h2>Flood</h2><p>{WORDS}</p><div class='advert'><a href=/buy>Buy boots</a></div><script>track('</p>')</script><p>{MORE}</p></article></body>",
+     f"Flood\n{WORDS}\n{MORE}"),
+    # Lists, a quotation, preformatted text and inline markup.
+    (f"<body><div role=navigation><a href=/>Up</a></div><article><h1>How <em>it</em> went</h1><p>{WORDS}</p><ul><li>sand bags, many of them<li>two boats</ul><blockquote><p>{MORE}</p></blockquote><pre>a   b\nc</pre></article></body>",
+     f"How it went\n{WORDS}\nsand bags, many of them\ntwo boats\n{MORE}\na b c"),
+]
+
+
+@pytest.mark.parametrize("source, want", PAGES, ids=range(len(PAGES)))
+def test_hand_written_pages(trees, source, want):
+    assert H.extract_all([source], trees) == [want]
+
+
+def test_model_is_fitted_once(spark, trees, monkeypatch):
+    assert Boosted.from_json(trees.to_json()).to_json() == trees.to_json()
+    x = np.random.default_rng(1).normal(size=(500, H.FEATURES))
+    first = H.fitted(spark)
+    monkeypatch.setattr(H, "model", None)
+    assert (H.fitted(spark).log_odds(x) == first.log_odds(x)).all() and (first.log_odds(x) == trees.log_odds(x)).all()
