@@ -70,6 +70,17 @@ class Catalog:
         del self.tables[name.lower()]
         return t
 
+    def number(self, name: str) -> int:
+        """A table's place in the order of creation, from 0."""
+        return list(self.tables).index(self.get(name).name)
+
+    def of_file(self, path: str) -> Table:
+        """The table that a folder or a file belongs to."""
+        for t in self.tables.values():
+            if any(path == f or path.startswith(f"{f}/") for f in t.folders):
+                return t
+        raise NoSuchTable(path)
+
     def with_column(self, column: str) -> list[str]:
         """Names of the tables that have a column."""
         return sorted(t.name for t in self.tables.values() if column.lower() in dict(t.fields))

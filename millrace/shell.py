@@ -98,7 +98,7 @@ class Shell:
 
     def run(self, text: str) -> None:
         began = time.time()
-        self.con.spark.addTag(TAG)
+        self.con.spark.sparkContext.addJobTag(TAG)
         try:
             r = self.con.sql(text)
             if r.df is not None:
@@ -112,7 +112,7 @@ class Shell:
             if r.kind in (QueryType.CREATE_TABLE, QueryType.DROP_TABLE):
                 self.out(str(self.con.engine.catalog))
         except KeyboardInterrupt:
-            self.con.spark.interruptTag(TAG)
+            self.con.spark.sparkContext.cancelJobsWithTag(TAG)
             if self.con.txn:
                 self.con.rollback()
             self.out("aborted")

@@ -347,3 +347,45 @@ def test_shell_changes_databases(con, tmp_path):
         sh.feed(line)
     text = "\n".join(out)
     assert "bb(x int, y string)" in text and "`aa` cannot be found" in text and "(1 results" in out[-1]
+
+
+def test_compaction_and_lookup_by_file(fresh, spark):
+    for k in range(5):
+        fresh.insert("t", spark.createDataFrame([(f"n{k}", k)], SCHEMA))
+    path = fresh.engine.catalog.get("t").folders[2]
+    assert fresh.engine.catalog.of_file(f"{path}/part-0").name == "t" and fresh.engine.catalog.number("T") == 0
+    assert fresh.compact("t") >= 5 and fresh.stats("t") == {"rows": 5, "files": 1}
+    assert sorted(rows(fresh, "select * from t")) == [(f"n{k}", k) for k in range(5)]
+    with pytest.raises(NoSuchTable):
+        fresh.engine.catalog.of_file(path)
+
+
+def test_interrupting_stops_the_shells_own_jobs(spark, tmp_path):
+    """A statement under the shell's tag is stopped; a job of another thread goes on."""
+    import time
+
+    from millrace.shell import TAG
+
+    def slow(tag):
+        if tag:
+            spark.sparkContext.addJobTag(tag)
+        got.append((tag, outcome(lambda: spark.range(100_000_000_000 if tag else 1_000_000).selectExpr("sum(hash(id))").collect())))
+
+    def outcome(f):
+        try:
+            f()
+            return "done"
+        except Exception as e:
+            return "stopped" if "cancel" in str(e).lower() or "interrupt" in str(e).lower() else str(e)
+
+    got = []
+    threads = [threading.Thread(target=slow, args=(t,)) for t in (TAG, None)]
+    for t in threads:
+        t.start()
+    deadline = time.time() + 60
+    while threads[0].is_alive() and time.time() < deadline:
+        time.sleep(1)
+        spark.sparkContext.cancelJobsWithTag(TAG)
+    for t in threads:
+        t.join(120)
+    assert dict(got) == {TAG: "stopped", None: "done"}
