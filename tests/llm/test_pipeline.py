@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from millrace.llm import bpe
+from millrace.llm import bpe, langid
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_substrings import brute as plain_removal
 
@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 def stages(spark):
     """What each stage returns, on the smallest table."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = {"input": docs.orderBy("doc_id").collect()}
+    out = {"input": docs.orderBy("doc_id").collect(), "predicted": langid.op10_language_id(spark, DATA).collect()}
     for name, f in cp.STAGES:
         docs = cp.cut(f(spark, docs, DATA))
         out[name] = docs.orderBy("doc_id").collect()
@@ -31,10 +31,11 @@ def test_columns(stages):
 
 def test_every_stage_against_brute_force(stages):
     src = stages["input"]
-    assert stages["language_id"] == [r for r in src if r.text and any(map(str.isalpha, r.text))]
+    seen = {r.doc_id: r for r in stages["predicted"]}
+    assert [r.asDict() for r in stages["language_id"]] == [{**r.asDict(), "lang": seen[r.doc_id].lang_pred} for r in src if r.text and any(map(str.isalpha, r.text)) and seen[r.doc_id].score >= cp.LEAST_SCORE]
     comp = plain_components({r.doc_id: plain_fingerprint(r.text) for r in stages["language_id"]})
     assert stages["simhash_near_dedup"] == [r for r in stages["language_id"] if comp[r.doc_id] == r.doc_id]
-    want = plain_removal([r.text for r in stages["simhash_near_dedup"]], 400)
+    want = plain_removal([r.text for r in stages["simhash_near_dedup"]], cp.REPEAT)
     for r, (n, removed, _, sha), before in zip(stages["suffix_array_dedup"], want, stages["simhash_near_dedup"], strict=True):
         assert r.n_chars == len(r.text) and (removed or r.text == before.text)
         assert hashlib.sha256(r.text.encode()).hexdigest() == sha or len(r.text.encode()) < n - removed
@@ -77,3 +78,49 @@ def test_language_stage_without_languages(spark):
     for lang in (None, "en"):  # no label, or too little text to learn from
         docs = spark.createDataFrame([(*r[:2], lang, *r[3:]) for r in rows], schema)
         assert sorted(r.doc_id for r in cp.language_id(spark, docs, DATA).collect()) == [1, 2]
+
+
+def test_language_stage_writes_the_language_into_the_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int"
+    texts = {"en": "the of and to in that is for it was on are as with they be at this have from ", "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch "}
+    rows = [(k + 100 * i, t * 3, lang, "a", 200, k) for i, (lang, t) in enumerate(texts.items()) for k in range(12)]
+    odd = [(300, texts["de"], "en", "a", 80, 1), (301, texts["en"], None, "a", 80, 2), (302, "the of and to " + "\u4f60\u597d\u4e16\u754c" * 40, "en", "a", 170, 3)]
+    got = {r.doc_id: r for r in cp.language_id(spark, spark.createDataFrame(rows + odd, schema), DATA).collect()}
+    assert (got[300].lang, got[301].lang, got[301]["a.b"]) == ("de", "en", 2)
+    assert 302 not in got and len(got) == 26  # most of its n-grams are of no learned language
+
+
+def test_choice_among_rows_alike_in_id_and_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` array<int>"
+    rows = [(1, "one text that stands here twice", "en", s, 5, [k]) for k, s in enumerate("cab")] + [(2, "another text of its own kind", None, None, None, None)]
+    got = set()
+    for turn in range(3):
+        docs = spark.createDataFrame(rows[turn:] + rows[:turn], schema).repartition(turn + 1)
+        out = cp.simhash_near_dedup(spark, docs, DATA).collect()
+        assert sorted(r.doc_id for r in out) == [1, 2]
+        got.add(next(r.source for r in out if r.doc_id == 1))
+    assert len(got) == 1
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    word = lambda a, b: chr(97 + a * 7 % 23) + chr(97 + b * 5 % 19) + chr(97 + (a * b) % 17)
+    passage = " ".join(word(k, k * k % 31) for k in range(51))
+    own = [" ".join(word(k * 3 + i, k + i * i) + str(i) for k in range(60)) for i in range(3)]
+    docs = spark.createDataFrame([(0, f"{own[0]} {passage} {own[0][::-1]}", "en", "a", 0), (1, f"{own[1]} {passage}", "en", "a", 0), (2, own[2], "en", "a", 0)], schema)
+    got = {r.doc_id: r.text for r in cp.suffix_array_dedup(spark, docs, DATA).collect()}
+    assert len(passage) < 210 and not any(passage[5:-5] in t for t in got.values())
+    assert got[2] == own[2] and own[1] == got[1].strip()
+
+
+def test_very_long_texts(spark):
+    """Longer than every chunk of the stages; one of them twice, so that it goes as a copy."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"{w} {k * k} the of and" for k, w in enumerate(["to", "in", "that"] * 40_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), *((k, f"the of and to in that is number {k} " * 3, "en", "a", 100) for k in range(3, 12))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, f in cp.STAGES:
+        docs = cp.cut(f(spark, docs, DATA))
+        if name == "simhash_near_dedup":
+            assert 1 in (ids := [r.doc_id for r in docs.select("doc_id").collect()]) and 2 not in ids
+    assert all(r.n_tokens > 500_000 for r in docs.filter("doc_id = 1").collect()) and docs.filter("doc_id = 1").count() >= 1
