@@ -40,7 +40,7 @@ LENGTH = 400
 #: Bytes of an anchor: longer ones leave less to the transforms, shorter ones leave fewer anchors.
 ANCHOR = 272
 #: Fragments of a group that one task sorts; symbols that are sorted at once.
-GROUP, SYMBOLS = 256, 1 << 19
+GROUP, SYMBOLS = 256, 1 << 18
 #: Groups that are sorted at once: with the bytes in use they mostly stay below 256 symbols.
 GROUPS = 150
 #: Windows of a text that are handled at once.
@@ -109,6 +109,8 @@ def _meet(rows: DataFrame, keys: DataFrame, on: list[str], n: str, want: Column
     limit = max(1, rows.count() // HEAVY)
     want = F.lit(True) if want is None else want
     heavy = keys.filter(F.col(n) > limit)
+    if not heavy.limit(1).collect():
+        return rows.join(keys.filter(want).select(*on), on)
     hot, cold = F.broadcast(heavy.filter(want).select(*on)), keys.filter((F.col(n) <= limit) & want).select(*on)
     return rows.join(hot, on).union(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(cold, on))
 
@@ -137,7 +139,7 @@ def _fetch(length: int, k: int):
     """Fragments' text left and right of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
             out: dict[str, list] = {c: [] for c in ("key", "u", "x", "loc", "twin", "l", "r")}
             for u, x, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = _data(text)

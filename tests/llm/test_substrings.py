@@ -73,6 +73,15 @@ def test_against_brute_force(spark, seed, length, k, group):
     assert run(spark, texts, length, k, group) == brute(texts, length)
 
 
+@pytest.mark.parametrize("heavy", [2, 20, 200])
+def test_heavy_keys(spark, monkeypatch, heavy):
+    """All, some or no keys of the joins count as heavy; a third of the texts hold one passage."""
+    texts = texts_with_repeats(6, 40)
+    texts += [f"{'the passage that a third of all texts have, word by word' if i % 2 else i * 7919} and {i}" for i in range(60)]
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    assert run(spark, texts, 40, 20, 3) == brute(texts, 40)
+
+
 def test_chunked_texts(spark, monkeypatch):
     texts = texts_with_repeats(5, 40)
     monkeypatch.setattr(substrings, "CHUNK", 50)
