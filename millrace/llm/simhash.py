@@ -7,7 +7,8 @@ two fingerprints within the radius agree on all that table v keeps: every such p
 the same rule; the bits still free then bound how many can meet.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a shingle
-form one shingle; equal texts share a fingerprint and are linked through it; null ids get a component
+form one shingle; a bit set in just half the shingles is 0; very long texts are counted CHUNK shingles at a time;
+equal texts share a fingerprint and are linked through it; repeated rows are one node; null ids get a component
 like others; an empty table gives no rows; other columns of the input play no part.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, ship, table
+from millrace.llm.common import cut, returns, ship, table
 from millrace.llm.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -48,13 +49,12 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row."""
     ship(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({id_col: b.column(0), "fp": pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())})
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp bigint")
+    return df.select(id_col, text_col).mapInArrow(run, returns(df, [id_col], "fp bigint"))
 
 
 def masks(fixed: int, radius: int = RADIUS) -> list[int]:
