@@ -12,8 +12,9 @@ so on to the left. Each step needs a higher rule whose right part is the left pa
 so the bytes of the longest such chain bound how far back a change can reach.
 
 Cases: null is the empty text: no tokens, digests of the empty string; special tokens of the
-vocabulary are matched in the text as the library does; repeated rows give equal rows; an empty table
-gives no rows; other columns of the input play no part.
+vocabulary are matched in the text as the library does; of merges of equal rank the leftmost comes first;
+very long texts, with or without white space, are handled segment by segment and a long piece window by
+window; repeated rows give equal rows; an empty table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import returns, ship, table
 
 #: The cut into pieces, as byte-level vocabularies define it; white space as in Unicode's White_Space.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -39,6 +41,8 @@ _L, _N, _W = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 LATIN_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 #: Pieces in the memo, by generation; characters of text that are cut into pieces at once.
 MEMO, SEGMENT = 1 << 18, 1 << 16
+#: Characters of a piece whose ids are given out in parts of so many.
+LONG = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,7 +92,9 @@ class Transducer:
         self.v, self.any_cut, self.latin_cut = vocab, regex.compile(PIECES), re.compile(LATIN_PIECES)
         #: No token is longer than a window, so each one emits something.
         self.window = max(window, *map(len, vocab.bytes_of.values()))
-        self.safe = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
+        #: Places where one piece ends and another begins in any case: before white space, and where letters, numbers
+        #: and other characters meet, but after an apostrophe.
+        self.safe = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{L}\p{White_Space}])|(?<=\p{N})(?=[^\p{N}\p{White_Space}])|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
         self.memo = _Memo(self, memo)
         self.by_name = {str(i): b for i, b in vocab.bytes_of.items()}
@@ -146,6 +152,12 @@ class Transducer:
                 yield i
             at += end
 
+    def in_parts(self, data: bytes) -> Iterator[str]:
+        """A long piece's ids as runs of decimals."""
+        ids = self.stream(data)
+        while part := ",".join(map(str, islice(ids, LONG))):
+            yield part
+
     def segments(self, text: str) -> Iterator[str]:
         """The text in segments of about SEGMENT characters, cut only where pieces end in any case."""
         at = 0
@@ -172,7 +184,12 @@ class Transducer:
                 yield str(self.v.special[part])
                 continue
             for seg in self.segments(part):
-                yield ",".join(map(self.memo.__getitem__, self.cut(seg)))
+                pieces = self.cut(seg)
+                if len(seg) <= 2 * SEGMENT:
+                    yield ",".join(map(self.memo.__getitem__, pieces))
+                    continue
+                for piece in pieces:
+                    yield from [self.memo[piece]] if len(piece) <= LONG else self.in_parts(piece.encode())
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for p in self.encode_parts(text or "") for i in p.split(",")]
@@ -204,6 +221,11 @@ class _Memo(dict):
         super().__init__()
         self.owner, self.most, self.old = owner, most, {}
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; the memo doesn't."""
+        self.old = {}
+        self.clear()
+
     def __missing__(self, piece: str) -> str:
         out = self.old.get(piece)
         if out is None:
@@ -237,7 +259,6 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     ship(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         text = f.read()
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(text)
@@ -250,8 +271,9 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     ends = np.cumsum([0, *(len(g[3]) for g in got)]).astype(np.int32)
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[3] for g in got]) if got else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
+        t.memo.forget()
 
-    schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = returns(df, [id_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import json
 import random
 
 import pytest
@@ -80,3 +82,37 @@ def test_query_on_whole_table(spark, lib):
         ids = lib.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lookahead_of_random_merge_lists(seed):
+    """Every text up to a length over two letters, and longer random ones: the stream gives what merging the whole does."""
+    rng = random.Random(seed)
+    letters = bpe.byte_letters()
+    vocab = {c: k for k, c in enumerate(letters)}
+    tokens, merges = ["a", "b"], []
+    for _ in range(rng.randrange(3, 14)):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if a + b not in vocab:
+            vocab[a + b] = len(vocab)
+            tokens.append(a + b)
+            merges.append([a, b])
+    t = bpe.Transducer(bpe.Vocabulary(json.dumps({"model": {"vocab": vocab, "merges": merges}})), window=1)
+    texts = ["".join(x) for n in range(11) for x in itertools.product("ab", repeat=n)] + ["".join(rng.choice("ab") for _ in range(400)) for _ in range(30)] + ["ab" * 300, "a" * 500, "aab" * 200]
+    for x in texts:
+        assert list(t.stream(x.encode())) == t.merge(x.encode())
+
+
+def test_texts_without_spaces(lib, mine, monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
+    monkeypatch.setattr(bpe, "LONG", 40)
+    rng = random.Random(4)
+    for text in ["你好，世界。" * 60, "x" * 900, "abc123'tis''s--'ll9" * 40, "a1" * 300, "'" * 300 + "s" * 300, "".join(rng.choice("ab1'-你\n") for _ in range(3000)), "\n" * 500 + "x" * 500]:
+        assert mine.encode(text) == lib.encode(text, add_special_tokens=False).ids
+        assert mine.digests(text)[2] == hashlib.sha256(text.encode()).hexdigest()
+        assert max(map(len, mine.segments(text))) <= 1000  # two runs at most
+
+
+def test_parts_of_a_very_long_piece_are_bounded(mine):
+    parts = [p.count(",") + 1 for p in mine.encode_parts("你" * 400_000)]
+    assert max(parts) <= bpe.LONG and sum(parts) == len(mine.encode("你" * 1000)) * 400
