@@ -1,9 +1,8 @@
-"""The table catalog: a text form for people, and the manifest that transactions swap."""
+"""The table catalog: a text form for people, and the manifest that transactions publish."""
 
 from __future__ import annotations
 
 import json
-import os
 import re
 from dataclasses import dataclass, field
 
@@ -108,11 +107,3 @@ class Catalog:
     @classmethod
     def from_json(cls, text: str) -> Catalog:
         return cls({n: Table(n, tuple(map(tuple, f)), tuple(d), v) for n, (f, d, v) in json.loads(text).items()})
-
-    def save(self, path: str) -> None:
-        """Write the manifest and swap it in; a crash leaves the old or the new one."""
-        with open(f"{path}.new", "w") as f:
-            f.write(self.to_json())
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{path}.new", path)

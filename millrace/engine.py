@@ -46,7 +46,7 @@ class Engine:
     """A store of tables. Each connection has its own session, views and transaction."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(root)
+        self.spark, self.store = spark, Store(root, spark)
 
     def connect(self) -> Connection:
         return Connection(self)

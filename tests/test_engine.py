@@ -389,3 +389,35 @@ def test_interrupting_stops_the_shells_own_jobs(spark, tmp_path):
     for t in threads:
         t.join(120)
     assert dict(got) == {TAG: "stopped", None: "done"}
+
+
+def test_manifests_are_numbered_and_taken_once(fresh, spark):
+    import os
+
+    store = fresh.store
+    n, catalog = store.numbered()
+    assert store.publish(catalog, n + 1) and not store.publish(catalog, n + 1)
+    for _ in range(25):
+        assert store.publish(catalog, store.numbered()[0] + 1)
+    names = os.listdir(store.manifests)
+    assert len([x for x in names if x.endswith(".json") and not x.startswith(".")]) == 20 and not any(x.startswith("new-") for x in names)
+    again = Engine(spark, f"file://{store.root}").connect()
+    assert again.store.root == store.root and again.table("t").count() == 0
+
+
+def test_concurrent_inserts_into_their_own_tables(spark, tmp_path):
+    """Committers whose tables nobody else touches all get through; each publishes a manifest of its own."""
+    engine = Engine(spark, str(tmp_path / "many"))
+    engine.connect().sql("create table base (a int)")
+
+    def work(k):
+        con = engine.connect()
+        con.sql(f"create table t{k} (a int)")
+        con.sql(f"insert into t{k} values ({k})")
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {name: rows(engine.connect(), f"select a from {name}") for name in engine.catalog.tables if name != "base"} == {f"t{k}": [(k,)] for k in range(6)}
