@@ -5,9 +5,16 @@ exponential keys, -ln(u) / weight, where u is drawn from the id and the weight i
 quality. Prefix sums of sizes along that order fill the budget exactly; the document at its edge is
 taken in part.
 
+A source is sorted slice by slice. A slice is a range of the key's logarithm: whatever the weights, the density of
+the logarithm of an exponential variable is at most 1/e, so that a slice holds ln(2) / e / PER_OCTAVE of a
+source's keys at most (a 16,000th). More can only be rows with equal ids: a slice that holds over CROWDED rows, and over
+a CROWDS-th of the table, is split further by the key and then by a hash of id and text.
+
 Cases: a null text has size 0 and takes nothing; null is a source, ordered last; sources of size 0
-have target 0; repeated rows share a key and are filled one after the other; an empty table gives no
-rows; other columns of the input play no part.
+have target 0; a null id draws like the empty text; rows with equal ids share a key and are filled one after
+the other, in the order of a hash of their texts; which of rows alike in id and text comes first is left
+open; very long texts are counted in one pass; an empty table gives no rows; other columns of the input play no part.
+The sources themselves are ordered in one task: some millions of them at most.
 """
 
 from __future__ import annotations
@@ -16,14 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, table, unit
+from millrace.llm.common import WORD, cut, table, unit
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix over words of the input, and the most epochs of a source.
 SHARE, EPOCHS = 1.5, 2
-#: Slices of the key's range. A source's documents are sorted slice by slice, never in one task.
-SLICES = 4096
+#: Slices of a source for each doubling of the key.
+PER_OCTAVE = 4096
+#: Slices of more rows than this, and of more than one in CROWDS of all rows (so at most CROWDS of them), are split further.
+CROWDED, CROWDS = 20_000, 10_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -50,22 +59,44 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size > 0, F.lit(1.0) / (1 + symbols / size)).otherwise(F.lit(1.0))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", slices: int = SLICES) -> DataFrame:
+def split(rows: DataFrame, per_slice: DataFrame, per_octave: int, crowded: int) -> DataFrame:
+    """Rows with ``fine`` and ``part``, which are 0 but in crowded slices."""
+    most = max(crowded, (per_slice.agg(F.sum("m")).first()[0] or 0) // CROWDS)
+    many = per_slice.filter(F.col("m") > most).select(F.col("source").alias("s0"), F.col("slice").alias("l0"))
+    rows = rows.join(F.broadcast(many), F.col("source").eqNullSafe(F.col("s0")) & (F.col("slice") == F.col("l0")), "left")
+    deep = F.col("l0").isNotNull()
+    return rows.withColumns({"fine": F.when(deep, F.floor((F.log2("key") * per_octave - F.col("slice")) * (1 << 20))).otherwise(0), "part": F.when(deep, F.shiftright("twin", 52)).otherwise(0)}).drop("s0", "l0")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", per_octave: int = PER_OCTAVE, crowded: int = CROWDED) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, epochs and taken (words, repeats counted)."""
     text = F.col(text_col)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("t"))
     key = -F.log(unit(F.col("id"), seed)) / quality_weight(F.col("t"), F.col("size"))
-    rows = rows.select("id", "source", "size", key.alias("key"))
-    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor(F.lit(float(slices)) * (1 - F.exp(-F.col("key"))))).cast("int"))
-    per_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
+    twin = F.xxhash64("id", F.coalesce("t", F.lit("")))
+    rows = rows.select("id", "source", "size", key.alias("key"), twin.alias("twin"))
+    # Texts are read once; what follows has some forty bytes a row.
+    rows = cut(rows.withColumn("slice", F.floor(F.log2("key") * per_octave).cast("int")))
+    per_slice = cut(rows.groupBy("source", "slice").agg(F.sum("size").alias("n"), F.count("*").alias("m")))
     goal = targets(per_slice.groupBy("source").agg(F.sum("n").alias("source_size")))
-    before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_slice.select(F.col("source").alias("s1"), F.col("slice").alias("l1"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = split(rows, per_slice, per_octave, crowded)
+    at = ["slice", "fine", "part"]
+    parts = rows.groupBy("source", *at).agg(F.sum("size").alias("n"))
+    # Sums in two levels: no task has more than the parts of one doubling of one source's keys.
+    parts = parts.withColumn("octave", F.floor(F.col("slice") / per_octave))
+    earlier = W.partitionBy("source").orderBy("octave").rowsBetween(W.unboundedPreceding, -1)
+    octaves = parts.groupBy("source", "octave").agg(F.sum("n").alias("n")).select(F.col("source").alias("s3"), F.col("octave").alias("o3"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = W.partitionBy("source", "octave").orderBy(*at).rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.join(octaves, F.col("source").eqNullSafe(F.col("s3")) & (F.col("octave") == F.col("o3")))
+    starts = starts.select(F.col("source").alias("s1"), *[F.col(c).alias(f"{c}1") for c in at], (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("start"))
     goal = goal.withColumnRenamed("source", "s2")
     starts = starts.join(goal, F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
-    within = W.partitionBy("source", "slice").orderBy("key", "id").rowsBetween(W.unboundedPreceding, -1)
-    out = rows.join(starts, F.col("source").eqNullSafe(F.col("s1")) & (F.col("slice") == F.col("l1")))
+    within = W.partitionBy("source", *at).orderBy("key", "id", "twin").rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("source").eqNullSafe(F.col("s1"))
+    for c in at:
+        same &= F.col(c) == F.col(f"{c}1")
+    out = rows.join(starts, same)
     done = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     out = out.select("id", "source", "size", "source_size", "target", epochs.alias("epochs"), done.alias("done"))
