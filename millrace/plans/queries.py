@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -348,7 +349,16 @@ def q_fn_rand(s, d):
 
 @query("SELECT n_nationkey, true AS ok FROM nation")
 def q_fn_epoch(s, d):
-    return read_table(s, d, "nation").select("n_nationkey", (fn.FUNCTIONS["epoch"]() > lit(1_600_000_000)).alias("ok"))
+    now = lit(int(time.time()))
+    return read_table(s, d, "nation").select("n_nationkey", (F.abs(fn.FUNCTIONS["epoch"]() - now) < 600).alias("ok"))
+
+
+@query("SELECT count(*) AS n_unlike, true AS halved FROM orders")
+def q_fn_rand_spread(s, d):
+    """No number comes twice, and half of them lie below the middle of the range, within five in a hundred."""
+    r = read_table(s, d, "orders").select(fn.FUNCTIONS["irand"]().alias("r"))
+    below = F.count_if(F.col("r") < lit(int(4.6e18))) / F.count("*")
+    return r.agg(F.count_distinct("r").alias("n_unlike"), ((below > 0.45) & (below < 0.55)).alias("halved"))
 
 
 # ---- sources, DML
