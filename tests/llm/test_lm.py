@@ -65,3 +65,11 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
     check(lm.score(df).collect(), brute(["a b"] * 3, lm.ORDER))
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 5000, 300_000))
+    texts = [long, "w1 w2 w3", long[:3000]]
+    rows = sorted(lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    check(rows, brute(texts, lm.ORDER), 1e-6)
