@@ -458,7 +458,7 @@ SQL = {
     "join_on": ("select t.name, t.age from t join t2 on t.name = t2.name where t.age < 50", "SELECT t.name, t.age FROM t JOIN t2 ON t.name = t2.name WHERE t.age < 50", None),
     "derived": ("select name from (select x.name from (select t.name from t) x)y order by name asc", "SELECT name FROM t", None),
     "count_star": ("select age, count(*) from t group by age", 'SELECT age, count(*) AS "count(*)" FROM t GROUP BY age', None),
-    "integer": ("select name, avg(age), max(age) / 7, -7 / 2 as h from t group by name", 'SELECT name, CAST(sum(age) // count(*) AS BIGINT) AS "avg(age)", max(age) // 7 AS "/", -3 AS h FROM t GROUP BY name', None),
+    "integer": ("select name, avg(age), max(age) / 7, -7 / 2 as h from t group by name", 'SELECT name, CAST(sum(age) // count(*) AS BIGINT) AS "avg(age)", max(age) // 7 AS "/", CAST(-3 AS BIGINT) AS h FROM t GROUP BY name', None),
     "avg_nested": ("select avg(age / 2 + 1) / 2 as v, rand() >= 0 as r from t where epoch() > 0", "SELECT CAST(sum(age // 2 + 1) // count(*) // 2 AS BIGINT) AS v, true AS r FROM t", None),
     "functions": ("select name, getsubstr(name, 1, 3) as a, imin(age, 5) as b, imax(age, 5) as c, mod(age, 7) as d, datestringtoepoch('2024-01-15') as e, epochtodatetimestring(0) as f, datetimestringtoepoch('Mon Jan  2 21:04:05 UTC 2006') as g from t where sq(age) > 100", "SELECT name, substr(name, 2, 3) AS a, least(age, 5) AS b, greatest(age, 5) AS c, age % 7 AS d, CAST(1705276800 AS BIGINT) AS e, 'Thu Jan  1 00:00:00 UTC 1970' AS f, CAST(1136235845 AS BIGINT) AS g FROM t WHERE age * age > 100", None),
     "on_conditions": ("select t.name, t2.age from t join t2 on t.name = t2.name and t.age = t2.age and t.age > 5", "SELECT t.name, t2.age FROM t JOIN t2 ON t.name = t2.name AND t.age = t2.age AND t.age > 5", None),
