@@ -47,13 +47,12 @@ def merge(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     z = np.repeat(np.arange(len(parts), dtype=np.uint8), sizes)
     # Few symbols sort in one pass.
     kind = np.uint8 if max((int(p.max(initial=0)) for p in parts), default=0) < 256 else np.uint16
-    flat = [p.astype(kind) for p in parts]
+    flat = np.concatenate([p.astype(kind) for p in parts])
     block = np.zeros(len(z), np.int32)
+    before = np.empty(len(z), kind)
     for _ in range(depth):
-        # The symbol before each merged place: every transform is read in order.
-        before = np.empty(len(z), kind)
-        for k, part in enumerate(flat):
-            before[z == k] = part
+        # The symbol before each merged place: the places of every transform, in order, read it in order.
+        before[np.argsort(z, kind="stable")] = flat
         order = np.argsort(before, kind="stable")
         z = z[order]
         s, b = before[order], block[order]
