@@ -370,13 +370,18 @@ def q_values(s, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; below a temporary one where one machine runs all."""
+    """A new folder below the cluster's shared one, which goes with the application; below a temporary one where one machine runs all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    name = f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return name
 
 
 def _engine(spark: SparkSession):
