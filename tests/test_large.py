@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import plans
+from millrace.operators import relational
 from tests.test_oracle import rows_of
 
 
@@ -16,3 +18,34 @@ def test_years_past_9999(spark, tmp_path, name):
     duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = duck.execute(plans.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
+def one_nation(spark, path, customers, suppliers):
+    """All customers and suppliers in one nation of Asia but for three, some rows alike, some without a nation."""
+    names = [(k, f"n{k}", k % 5) for k in range(25)]
+    for name, df in (
+        ("region", spark.createDataFrame([(k, "ASIA" if k == 2 else f"r{k}") for k in range(5)], "r_regionkey int, r_name string")),
+        ("nation", spark.createDataFrame(names, "n_nationkey int, n_name string, n_regionkey int")),
+        ("customer", spark.range(customers).selectExpr("id as c_custkey", "concat('c', id div 2) as c_name", "cast(case id when 0 then null when 1 then 3 when 2 then 12 else 7 end as int) as c_nationkey")),
+        ("supplier", spark.range(suppliers).selectExpr("0L as s_suppkey", "concat('s', id div 2) as s_name", "cast(case id when 0 then null when 1 then 3 when 2 then 12 else 7 end as int) as s_nationkey")),
+    ):
+        df.coalesce(1).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_join_4way_is_dealt_by_the_rows_it_makes(spark, tmp_path):
+    one_nation(spark, tmp_path, 4003, 4003)
+    parts = plans.queries()["join_4way"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 4000 * 4000 + 1
+    assert max(r["count"] for r in parts) < 10_000_000
+
+
+def test_join_4way_in_blocks_gives_the_rows_of_its_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relational, "SPREAD_ROWS", 1000)
+    monkeypatch.setattr(relational, "SPREAD_BLOCK", 16)
+    one_nation(spark, tmp_path, 203, 103)
+    duck = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = plans.queries()["join_4way"](spark, str(tmp_path))
+    want = duck.execute(plans.oracle_sql()["join_4way"])
+    assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in want.description], want.fetchall())
