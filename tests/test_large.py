@@ -1,10 +1,13 @@
 """Registered queries on what only large tables hold, against DuckDB."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import plans
+from millrace import Engine, engine, plans
+from millrace.frontend import multiplied
 from millrace.operators import relational
 from tests.test_oracle import rows_of
 
@@ -49,3 +52,69 @@ def test_join_4way_in_blocks_gives_the_rows_of_its_sql(spark, tmp_path, monkeypa
     df = plans.queries()["join_4way"](spark, str(tmp_path))
     want = duck.execute(plans.oracle_sql()["join_4way"])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
+JOIN_COMMA = "select t.name, t.age from t join t2 on t.name = t2.name, t2 as t3 where t.age < 50 and t3.age = t.age order by t.age asc, t.name asc"
+
+
+@pytest.fixture
+def people(spark, tmp_path):
+    def make(n, names=3, ages=4):
+        c = Engine(spark, str(tmp_path / "db")).connect()
+        for t in ("t", "t2"):
+            c.sql(f"create table {t} (name string, age int)")
+            c.insert(t, spark.range(n).selectExpr(f"if(id = 0, null, concat('n', id % {names})) as name", f"if(id = 1, null, id % {ages}) as age"))
+        return c
+
+    return make
+
+
+def test_join_comma_is_dealt_by_the_rows_it_makes(people):
+    parts = people(302, 1, 1).sql(JOIN_COMMA).df.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 300 * 301 * 301
+    assert max(r["count"] for r in parts) < 20_000_000
+
+
+COPIED = [
+    JOIN_COMMA,
+    JOIN_COMMA.replace("t.age asc", "t.age desc"),
+    "select t.name, t.age from t join t2 on t.name = t2.name where t.age < 3",
+    "select t.age as a, t2.name, t.age from t, t2, t2 as x where t.age = t2.age and x.name = t2.name and not t.name = 'n1' order by t2.name",
+    "select a.name from t a inner join t2 b on a.name = b.name and a.age = b.age order by a.name desc -- end",
+]
+
+
+@pytest.mark.parametrize("sql", COPIED)
+def test_copies_made_last_are_the_rows_of_the_join(people, monkeypatch, sql):
+    con = people(40)
+    plain = con.sql(sql).df
+    monkeypatch.setattr(engine, "COPIED_ROWS", 50)
+    monkeypatch.setattr(engine, "COPIED_RUN", 7)
+    got = con.sql(sql).df
+    assert got.columns == plain.columns and "_n" in got._jdf.queryExecution().toString()
+    a, b = [tuple(r) for r in got.collect()], [tuple(r) for r in plain.collect()]
+    assert len(a) > 50 and Counter(a) == Counter(b)
+    if "order by" in sql:
+        by = [k for k, c in enumerate(plain.columns) if f"{c} asc" in sql or f"{c} desc" in sql or f"order by t2.{c}" in sql]
+        assert [[r[k] for k in by] for r in a] == [[r[k] for k in by] for r in b]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select t.name from t left join t2 on t.name = t2.name",
+        "select t.name from t join t2 on t.name = t2.name limit 3",
+        "select t.name from t join t2 on t.name = t2.name order by t.name limit 3",
+        "select t.name from t join t2 on t.name = t2.name order by t.age",
+        "select distinct t.name from t, t2 where t.age = t2.age",
+        "select t.name, t2.name from t, t2 where t.age = t2.age",
+        "select t.name from t, t2 where t.name = t2.name group by t.name",
+        "select t.name from t, t2 where t.name = t2.name union all select t.name from t",
+        "select t.name from t join t2",
+        "select name from t join t2 on t.age = t2.age",
+        "select t.name from t natural join t2",
+        "select t.name from t",
+    ],
+)
+def test_other_statements_are_left_as_they_are(sql):
+    assert multiplied(sql, {"t": ["name", "age"], "t2": ["name", "age"]}) is None
