@@ -90,6 +90,8 @@ def test_copies_made_last_are_the_rows_of_the_join(people, monkeypatch, sql):
     plain = con.sql(sql).df
     monkeypatch.setattr(engine, "COPIED_ROWS", 50)
     monkeypatch.setattr(engine, "COPIED_RUN", 7)
+    monkeypatch.setattr(engine, "COPIED_STEP", 3)
+    monkeypatch.setattr(engine, "COPIED_TASKS", 5)
     got = con.sql(sql).df
     assert got.columns == plain.columns and "_n" in got._jdf.queryExecution().toString()
     a, b = [tuple(r) for r in got.collect()], [tuple(r) for r in plain.collect()]
