@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import Engine, engine, plans
-from millrace.frontend import multiplied
+from millrace.frontend import _walk, multiplied
 from millrace.operators import relational
 from tests.test_oracle import rows_of
 
@@ -101,6 +101,17 @@ def test_copies_made_last_are_the_rows_of_the_join(people, monkeypatch, sql):
         assert [[r[k] for k in by] for r in a] == [[r[k] for k in by] for r in b]
 
 
+@pytest.mark.parametrize("sql", [JOIN_COMMA, JOIN_COMMA[: JOIN_COMMA.index(" order by")]])
+def test_a_task_holds_the_copies_of_one_step(people, monkeypatch, sql):
+    con = people(40)
+    monkeypatch.setattr(engine, "COPIED_ROWS", 50)
+    plan = con.sql(sql).df._jdf.queryExecution().sparkPlan()
+    line = [n.nodeName() for n in _walk(plan)]
+    last, cut = [k for k, n in enumerate(line) if n == "Generate"][:2]
+    assert "Sort" in line[last:cut]  # the last copies are made from rows that a sort gives one by one
+    assert engine.COPIED_STEP <= 1 << 12  # these are held at once
+
+
 @pytest.mark.parametrize(
     "sql",
     [
